@@ -1,11 +1,13 @@
 """Substring dedup: a count-min prefilter, then an exact count of what it lets through.
 
-A window is ``window`` consecutive words of one text.  Each window is represented by its
-minimiser, the least-hashed ``gram``-word sequence in it (the leftmost of equal ones), which
-depends on the window's words alone: a repeated window has a repeated minimiser, so an
+A window is ``window`` consecutive words of one text.  Each ``part`` consecutive words have a
+minimiser, the least hashed ``gram``-word sequence in them (the leftmost of equal ones), which
+depends on those words alone: in a repeated window every part's minimiser is repeated, so an
 overestimate of minimiser counts overestimates window counts.  Partitions sketch their
-minimisers; the sketches are merged cell by cell (saturating at two), and only windows whose
-minimiser is estimated repeated in every sketch row are grouped exactly, by 128 bits of hash.
+minimisers; the sketches are merged cell by cell (saturating at two), and only windows all of
+whose minimisers are estimated repeated in every sketch row are grouped exactly, by 128 bits of
+hash.  They are found anew from the texts for the count and for the marks: that is cheaper than
+keeping them.
 No repeated window is lost; the sketch only saves work.  Its width follows the input up to
 ``MAX_LOG_CELLS`` (two bitmaps of 64 MB, the most that is broadcast); past that more windows
 reach the exact pass, with the same result.
@@ -21,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.llm import batch as B
-from signalloom.llm.common import documents, partitions, row_key, store
+from signalloom.llm.common import documents, partitions, row_key
 
-WINDOW, GRAM = 35, 8
+WINDOW, PART, GRAM = 35, 18, 8
 MIN_LOG_CELLS, MAX_LOG_CELLS, LOG_SHARD = 20, 29, 18
 SKETCH_ROWS = 2
 FLUSH = 1 << 21
@@ -53,7 +55,7 @@ def cells(grams: np.ndarray, row: int, log_cells: int) -> np.ndarray:
 SKETCH = pa.schema([("shard", pa.int32()), ("entries", pa.binary())])
 
 
-def sketch(window: int, gram: int, log_cells: int):
+def sketch(part: int, gram: int, log_cells: int):
     """Per partition: the cells its minimisers fall in; of each entry the lowest bit says whether more than one did."""
 
     def packed(grams: np.ndarray):
@@ -71,7 +73,7 @@ def sketch(window: int, gram: int, log_cells: int):
         for b in batches:
             for s in B.slices(b.column(0)):
                 w = B.words(s)
-                grams, _, least = minimisers(B.word_hashes(s, w), w, window, gram)
+                grams, _, least = minimisers(B.word_hashes(s, w), w, part, gram)
                 if len(least):
                     found = grams[least[np.flatnonzero(np.diff(least, prepend=-1))]]
                     held.append(found)
@@ -104,7 +106,7 @@ def merge(batches):
         yield out()
 
 
-def candidates(window: int, gram: int, log_cells: int, bitmaps):
+def candidates(window: int, part: int, gram: int, log_cells: int, bitmaps):
     schema = pa.schema([("row", pa.int64()), ("pos", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(batches):
@@ -114,14 +116,19 @@ def candidates(window: int, gram: int, log_cells: int, bitmaps):
             for s in B.slices(b.column(0)):
                 w = B.words(s)
                 h = B.word_hashes(s, w)
-                grams, at, least = minimisers(h, w, window, gram)
+                grams, at, least = minimisers(h, w, part, gram)
                 if not len(at):
                     continue
                 seen = np.ones(len(at), bool)
                 for row in range(SKETCH_ROWS):
                     cell = cells(grams, row, log_cells)[least]
                     seen &= (maps[row][cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
-                at = at[seen]
+                run = np.zeros(len(h) + 1, np.int64)
+                run[at[seen] + 1] = 1
+                np.cumsum(run, out=run)
+                at = np.flatnonzero(B.inside(w, window))
+                need = window - part + 1
+                at = at[run[at + need] - run[at] == need]
                 if len(at):
                     row = w.row[at]
                     h1, h2 = (B.gram_hashes(h, window, m)[at].view(np.int64) for m in B.MULTIPLIERS)
@@ -130,18 +137,19 @@ def candidates(window: int, gram: int, log_cells: int, bitmaps):
     return run
 
 
-def repeated_windows(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_windows(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
     """Rows (row, marks): a row's key and the word positions where a window starts that also starts elsewhere."""
-    if not 0 < gram <= window:
-        raise ValueError("gram must be from 1 to window")
+    if window < 1:
+        raise ValueError("a window has at least one word")
+    part, gram = min(PART, window), min(GRAM, window)
     spark = df.sparkSession
     texts = df.select(F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    log_cells = min(MAX_LOG_CELLS, max(MIN_LOG_CELLS, math.ceil(math.log2(size / 12 + 1))))
+    log_cells = min(MAX_LOG_CELLS, max(MIN_LOG_CELLS, math.ceil(math.log2(size / 6 + 1))))
     shards = SKETCH_ROWS << (log_cells - LOG_SHARD)
     merged = (
         texts.select("text")
-        .mapInArrow(sketch(window, gram, log_cells), "shard int, entries binary")
+        .mapInArrow(sketch(part, gram, log_cells), "shard int, entries binary")
         .repartition(min(shards, 4 * partitions(spark)), "shard")
         .sortWithinPartitions("shard")
         .mapInArrow(merge, "shard int, entries binary")
@@ -151,12 +159,12 @@ def repeated_windows(df: DataFrame, id_col: str, text_col: str, window: int = WI
     for shard, bits in merged.toLocalIterator():
         maps[shard // per][(shard % per) * width :][:width] = np.frombuffer(bits, np.uint8)
     bitmaps = spark.sparkContext.broadcast(maps)
-    found = store(texts.mapInArrow(candidates(window, gram, log_cells, bitmaps), "row long, pos int, h1 long, h2 long"), "windows")
+    found = texts.mapInArrow(candidates(window, part, gram, log_cells, bitmaps), "row long, pos int, h1 long, h2 long")
     twice = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
     return found.join(twice, ["h1", "h2"], "left_semi").groupBy("row").agg(F.collect_list("pos").alias("marks"))
 
 
-def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Remove every word that a repeated window covers; windows are judged on the input.
 
     Returns (original, kept_text, n_words, n_removed, spans): ``original`` is the whole input row
@@ -165,7 +173,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined by one space).  Rows with equal id and text count as separate places: each loses what
     the other repeats.  An empty table gives an empty result.
     """
-    marks = repeated_windows(df, id_col, text_col, window, gram)
+    marks = repeated_windows(df, id_col, text_col, window)
     rows = df.select(F.struct("*").alias("original"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
     both = rows.join(marks, "row", "left").select("original", "text", "marks")
     kind = rows.schema["original"].dataType.simpleString()
