@@ -156,7 +156,7 @@ def repeated_windows(df: DataFrame, id_col: str, text_col: str, window: int = WI
     )
     maps = [np.zeros(1 << (log_cells - 3), np.uint8) for _ in range(SKETCH_ROWS)]
     per, width = 1 << (log_cells - LOG_SHARD), 1 << (LOG_SHARD - 3)
-    for shard, bits in merged.toLocalIterator():
+    for shard, bits in merged.collect():
         maps[shard // per][(shard % per) * width :][:width] = np.frombuffer(bits, np.uint8)
     bitmaps = spark.sparkContext.broadcast(maps)
     found = texts.mapInArrow(candidates(window, part, gram, log_cells, bitmaps), "row long, pos int, h1 long, h2 long")
