@@ -6,8 +6,9 @@ depends on those words alone: in a repeated window every part's minimiser is rep
 overestimate of minimiser counts overestimates window counts.  Partitions sketch their
 minimisers; the sketches are merged cell by cell (saturating at two), and only windows all of
 whose minimisers are estimated repeated in every sketch row are grouped exactly, by 128 bits of
-hash.  They are found anew from the texts for the count and for the marks: that is cheaper than
-keeping them.
+hash: whole runs of windows around one minimiser first, single windows where a run stands once.
+They are found anew from the texts for the counts and for the marks: that is cheaper than keeping
+them.
 No repeated window is lost; the sketch only saves work.  Its width follows the input up to
 ``MAX_LOG_CELLS`` (two bitmaps of 64 MB, the most that is broadcast); past that more windows
 reach the exact pass, with the same result.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.llm import batch as B
-from signalloom.llm.common import documents, partitions, row_key
+from signalloom.llm.common import documents, partitions, row_key, store
 
 WINDOW, PART, GRAM = 35, 18, 8
 MIN_LOG_CELLS, MAX_LOG_CELLS, LOG_SHARD = 20, 29, 18
@@ -106,39 +107,126 @@ def merge(batches):
         yield out()
 
 
-def candidates(window: int, part: int, gram: int, log_cells: int, bitmaps):
-    schema = pa.schema([("row", pa.int64()), ("pos", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+class Finder:
+    """What the passes over the texts share: candidate windows and their blocks, slice by slice.
+
+    A block is a run of candidate windows with one minimiser; equal blocks have equal windows.
+    """
+
+    def __init__(self, window: int, part: int, gram: int, log_cells: int, maps):
+        self.window, self.part, self.gram, self.log_cells, self.maps = window, part, gram, log_cells, maps
+
+    def hit(self, hashes: np.ndarray, row: int, bits: np.ndarray) -> np.ndarray:
+        cell = cells(hashes, row, self.log_cells)
+        return (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+
+    def blocks(self, s: B.Slice):
+        """(words, word hashes, block starts, block lengths, block grams)."""
+        w = B.words(s)
+        h = B.word_hashes(s, w)
+        grams, at, least = minimisers(h, w, self.part, self.gram)
+        run = np.zeros(len(h) + 1, np.int64)
+        if len(at):
+            seen = self.hit(grams, 0, self.maps.value[0]) & self.hit(grams, 1, self.maps.value[1])
+            run[at[seen[least]] + 1] = 1
+        np.cumsum(run, out=run)
+        grams, at, least = minimisers(h, w, self.window, self.gram)
+        need = self.window - self.part + 1
+        ok = run[at + need] - run[at] == need
+        at, least = at[ok], least[ok]
+        cut = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(least, prepend=-1) != 0))
+        return w, h, at[cut], np.diff(np.append(cut, len(at))), grams[least[cut]]
+
+    def contexts(self, h: np.ndarray, starts: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+        ends = starts + n + self.window - 1
+        return [B.span_hashes(h if k == 0 else B.mix(h ^ B.U64(m)), starts, ends, m) for k, m in enumerate(B.MULTIPLIERS)]
+
+    def windows(self, h: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Starts of the blocks' windows and their two hashes."""
+        at = np.repeat(starts - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else starts
+        return at, [B.gram_hashes(h, self.window, m)[at] if len(at) else np.zeros(0, B.U64) for m in B.MULTIPLIERS]
+
+
+BLOCKS = "row long, first int, n int, c1 long, c2 long, gram long"
+
+
+def find_blocks(f: Finder):
+    names = [x.split()[0] for x in BLOCKS.split(", ")]
 
     def run(batches):
-        maps = bitmaps.value
         for b in batches:
             keys = b.column(1).to_numpy(zero_copy_only=False)
             for s in B.slices(b.column(0)):
-                w = B.words(s)
-                h = B.word_hashes(s, w)
-                grams, at, least = minimisers(h, w, part, gram)
+                w, h, starts, n, grams = f.blocks(s)
+                if len(starts):
+                    row = w.row[starts]
+                    c1, c2 = (c.view(np.int64) for c in f.contexts(h, starts, n))
+                    columns = (keys[s.first + row], (starts - w.at[row]).astype(np.int32), n.astype(np.int32), c1, c2, grams.view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    return run
+
+
+def open_bits(batches):
+    """Sketch entries of the contexts and grams of blocks (c1, gram, log_cells) found once."""
+    for b in batches:
+        c1, gram = (np.unique(b.column(i).to_numpy(zero_copy_only=False).view(np.uint64)) for i in (0, 1))
+        if len(c1):
+            log_cells = b.column(2)[0].as_py()
+            for row, hashes in ((0, c1), (1, gram)):
+                cell = np.unique(cells(hashes, row, log_cells))
+                shard = cell >> LOG_SHARD
+                entry = (((cell & ((1 << LOG_SHARD) - 1)) << 1) | 1).astype(np.uint32)
+                cut = np.flatnonzero(np.diff(shard, prepend=-1))
+                ids = (shard[cut] + (row << (log_cells - LOG_SHARD))).astype(np.int32)
+                yield B.table(SKETCH, [ids, [entry[x:y].tobytes() for x, y in zip(cut, np.append(cut[1:], len(entry)), strict=True)]])
+
+
+def open_windows(f: Finder, opened, marked: bool):
+    """Windows of blocks whose gram has an open context: (h1, h2, n) counted per batch; or, if ``marked``, (row, pos, h1, h2) of open blocks."""
+
+    def run(batches):
+        contexts, grams_open = opened.value
+        for b in batches:
+            keys = b.column(1).to_numpy(zero_copy_only=False)
+            for s in B.slices(b.column(0)):
+                w, h, starts, n, grams = f.blocks(s)
+                ok = f.hit(grams, 1, grams_open)
+                if marked and len(starts):
+                    ok &= f.hit(f.contexts(h, starts, n)[0], 0, contexts)
+                at, (h1, h2) = f.windows(h, starts[ok], n[ok])
                 if not len(at):
                     continue
-                seen = np.ones(len(at), bool)
-                for row in range(SKETCH_ROWS):
-                    cell = cells(grams, row, log_cells)[least]
-                    seen &= (maps[row][cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
-                run = np.zeros(len(h) + 1, np.int64)
-                run[at[seen] + 1] = 1
-                np.cumsum(run, out=run)
-                at = np.flatnonzero(B.inside(w, window))
-                need = window - part + 1
-                at = at[run[at + need] - run[at] == need]
-                if len(at):
+                if marked:
                     row = w.row[at]
-                    h1, h2 = (B.gram_hashes(h, window, m)[at].view(np.int64) for m in B.MULTIPLIERS)
-                    yield B.table(schema, [keys[s.first + row], at - w.at[row], h1, h2])
+                    columns = {"row": keys[s.first + row], "pos": (at - w.at[row]).astype(np.int32), "h1": h1.view(np.int64), "h2": h2.view(np.int64)}
+                else:
+                    both = np.empty(len(at), [("a", B.U64), ("b", B.U64)])
+                    both["a"], both["b"] = h1, h2
+                    kinds, count = np.unique(both, return_counts=True)
+                    columns = {"h1": kinds["a"].copy().view(np.int64), "h2": kinds["b"].copy().view(np.int64), "n": count}
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
 
     return run
 
 
+def gathered(entries: DataFrame, log_cells: int) -> list[np.ndarray]:
+    """The merged bitmaps of sketch entries, at most SKETCH_ROWS * 2**(MAX_LOG_CELLS - 3) bytes."""
+    shards = SKETCH_ROWS << (log_cells - LOG_SHARD)
+    merged = entries.repartition(min(shards, 4 * partitions(entries.sparkSession)), "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, entries binary")
+    maps = [np.zeros(1 << (log_cells - 3), np.uint8) for _ in range(SKETCH_ROWS)]
+    per, width = 1 << (log_cells - LOG_SHARD), 1 << (LOG_SHARD - 3)
+    for shard, bits in merged.collect():
+        maps[shard // per][(shard % per) * width :][:width] = np.frombuffer(bits, np.uint8)
+    return maps
+
+
 def repeated_windows(df: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -> DataFrame:
-    """Rows (row, marks): a row's key and the word positions where a window starts that also starts elsewhere."""
+    """Rows (row, marks): a row's key and the [first, first + n) word positions where windows start that also start elsewhere.
+
+    Whole blocks are counted first.  Blocks found twice or more are repeated; only where a block
+    stands once are its windows, and those of other blocks around the same gram, counted singly.
+    """
     if window < 1:
         raise ValueError("a window has at least one word")
     part, gram = min(PART, window), min(GRAM, window)
@@ -146,22 +234,16 @@ def repeated_windows(df: DataFrame, id_col: str, text_col: str, window: int = WI
     texts = df.select(F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     log_cells = min(MAX_LOG_CELLS, max(MIN_LOG_CELLS, math.ceil(math.log2(size / 6 + 1))))
-    shards = SKETCH_ROWS << (log_cells - LOG_SHARD)
-    merged = (
-        texts.select("text")
-        .mapInArrow(sketch(part, gram, log_cells), "shard int, entries binary")
-        .repartition(min(shards, 4 * partitions(spark)), "shard")
-        .sortWithinPartitions("shard")
-        .mapInArrow(merge, "shard int, entries binary")
-    )
-    maps = [np.zeros(1 << (log_cells - 3), np.uint8) for _ in range(SKETCH_ROWS)]
-    per, width = 1 << (log_cells - LOG_SHARD), 1 << (LOG_SHARD - 3)
-    for shard, bits in merged.collect():
-        maps[shard // per][(shard % per) * width :][:width] = np.frombuffer(bits, np.uint8)
-    bitmaps = spark.sparkContext.broadcast(maps)
-    found = texts.mapInArrow(candidates(window, part, gram, log_cells, bitmaps), "row long, pos int, h1 long, h2 long")
-    twice = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    return found.join(twice, ["h1", "h2"], "left_semi").groupBy("row").agg(F.collect_list("pos").alias("marks"))
+    maps = gathered(texts.select("text").mapInArrow(sketch(part, gram, log_cells), "shard int, entries binary"), log_cells)
+    f = Finder(window, part, gram, log_cells, spark.sparkContext.broadcast(maps))
+    blocks = texts.mapInArrow(find_blocks(f), BLOCKS)
+    contexts = store(blocks.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("times"), F.min("gram").alias("gram")), "contexts")
+    single = contexts.where("times = 1").select("c1", "gram", F.lit(log_cells).alias("log_cells"))
+    opened = spark.sparkContext.broadcast(gathered(single.mapInArrow(open_bits, "shard int, entries binary"), log_cells))
+    whole = blocks.select("row", "first", "n", "c1", "c2").join(contexts.where("times > 1").select("c1", "c2"), ["c1", "c2"], "left_semi").select("row", "first", "n")
+    counted = texts.mapInArrow(open_windows(f, opened, False), "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("times")).where("times > 1").select("h1", "h2")
+    singly = texts.mapInArrow(open_windows(f, opened, True), "row long, pos int, h1 long, h2 long").join(counted, ["h1", "h2"], "left_semi").select("row", F.col("pos").alias("first"), F.lit(1).alias("n"))
+    return whole.union(singly).groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("marks"))
 
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -191,10 +273,11 @@ def _cut(window: int):
                 w = B.words(s)
                 part = marks.slice(s.first, s.rows)
                 sizes = np.asarray(part.value_lengths().fill_null(0))
-                starts = np.repeat(w.at[:-1], sizes) + part.flatten().to_numpy(zero_copy_only=False)
+                first, n = (x.to_numpy(zero_copy_only=False) for x in part.flatten().flatten())
+                starts = np.repeat(w.at[:-1], sizes) + first
                 edge = np.zeros(len(w.starts) + 1, np.int64)
                 np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + window, -1)
+                np.add.at(edge, starts + n + window - 1, -1)
                 gone = np.cumsum(edge)[:-1] > 0
                 texts.append(B.joined_words(s, w, ~gone))
                 n_words.append(w.counts)
