@@ -10,8 +10,8 @@ Nodes that share a sketch form a bucket.  Each is compared with the bucket's cen
 with the most company over all its buckets (in a group of copies of one text, most likely that
 text).  Verified links give components.  Where a bucket still holds several, every member outside
 its largest component is compared with all others, in blocks of bounded size; a pair is looked at
-in the first sketch it shares only, and goes on only if its fingerprints' likeness may belong to
-a link.  So no pair within a bucket is left out, and a large group whose members link to its
+in the first sketch it shares only, and goes on only if the sets of its k-mers' 16-bit hashes may
+belong to a link.  So no pair within a bucket is left out, and a large group whose members link to its
 centre costs one comparison each.
 
 Verification aligns the two word sequences within the band that the threshold leaves, and counts
@@ -33,6 +33,8 @@ from signalloom.llm.fingerprints import BINS, packed, shingles
 KMER, SAMPLED, SKETCHES, SIMILARITY = 5, 3, 20, 0.8
 #: How far a fingerprint's likeness may fall short of the threshold: about five standard errors.
 SLACK = 0.13
+#: How far the likeness of sets of 16-bit hashes may fall short: what collisions take from a union.
+HASH_SLACK = 0.03
 LEFT_BLOCK, RIGHT_BLOCK = 256, 2048
 ORDERS = B.mix(np.arange(1, SKETCHES + 1, dtype=B.U64) * B.U64(0xD1342543DE82EF95)) | B.U64(1)
 
@@ -207,7 +209,24 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
     return buckets.join(centres, "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
-def rest_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+def short_hashes(texts: DataFrame) -> DataFrame:
+    """(node, kinds): the distinct 16-bit hashes of each text's k-mers, as little-endian bytes."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for s in B.slices(b.column(1)):
+                h, row = shingles(s, KMER)
+                pairs = np.unique((row.astype(np.int64) << 16) | (h >> B.U64(48)).astype(np.int64))
+                at = np.searchsorted(pairs, np.arange(s.rows + 1) << 16)
+                low = (pairs & 0xFFFF).astype("<u2")
+                out += [low[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["node", "kinds"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, kinds binary")
+
+
+def rest_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, texts_of, threshold: float) -> DataFrame:
     """Likely pairs (a, b) of different components in one bucket, found in blocks, each once."""
     rows = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     parts = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -220,15 +239,22 @@ def rest_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, threshol
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.where("label <> major").select("bucket", "node", "label", (place % F.col("lefts")).cast("int").alias("l"), each("rights").alias("r"), F.lit(True).alias("left"))
     right = rows.select("bucket", "node", "label", each("lefts").alias("l"), (place % F.col("rights")).cast("int").alias("r"), F.lit(False).alias("left"))
-    both = left.unionByName(right).join(nodes.select("node", "n_kinds", "sketch", "print"), "node").join(rows.select("bucket", "node", F.col("major").alias("m")), ["bucket", "node"])
+    kinds = store(short_hashes(texts_of(rows.select("node").distinct())), "kinds")
+    both = left.unionByName(right).join(nodes.select("node", "n_kinds", "sketch").join(kinds, "node"), "node").join(rows.select("bucket", "node", F.col("major").alias("m")), ["bucket", "node"])
 
     def run(table: pa.Table) -> pa.Table:
         bucket, node, label, n, major = (np.asarray(table.column(c)) for c in ("bucket", "node", "label", "n_kinds", "m"))
         is_left = np.asarray(table.column("left"))
         sketch = np.asarray(table.column("sketch").combine_chunks().flatten()).reshape(-1, SKETCHES)
-        prints = np.frombuffer(b"".join(table.column("print").to_pylist()), np.uint8).reshape(-1, BINS)
+        kinds = [np.frombuffer(x, "<u2") for x in table.column("kinds").to_pylist()]
+        size = np.array([len(x) for x in kinds])
         a_s, b_s = [], []
         rights = np.flatnonzero(~is_left)
+        place = np.zeros(len(node), np.int64)
+        place[rights] = np.arange(len(rights))
+        bits = np.zeros((len(rights), 1 << 13), np.uint8)
+        for p, i in enumerate(rights):
+            np.bitwise_or.at(bits[p], kinds[i] >> 3, np.uint8(1) << (kinds[i] & 7).astype(np.uint8))
         for i in np.flatnonzero(is_left):
             j = rights[label[rights] != label[i]]
             j = j[(label[j] == major[j]) | (node[j] < node[i])]
@@ -238,7 +264,9 @@ def rest_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, threshol
             shared = sketch[j] == sketch[i]
             first = shared.argmax(1)
             j = j[sketch[i][first] == bucket[i]]
-            j = j[_alike(prints[i], prints[j]) >= threshold - SLACK]
+            if len(j):
+                common = (bits[place[j]][:, kinds[i] >> 3] >> (kinds[i] & 7).astype(np.uint8) & 1).sum(1, dtype=np.int64)
+                j = j[common >= (threshold - HASH_SLACK) * (size[i] + size[j] - common)]
             a_s.append(np.full(len(j), node[i]))
             b_s.append(node[j])
         none = np.zeros(0, np.int64)
@@ -262,14 +290,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = store(likely(star_pairs(buckets), nodes, threshold), "pairs")
     source = df.select(row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        return source.join(wanted.join(nodes.select("node", "key"), "node"), "key").dropDuplicates(["node"]).select("node", "text")
+
     def links(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "key"), "node")
-        texts = store(source.join(wanted, "key").dropDuplicates(["node"]).select("node", "text"), "texts")
+        texts = store(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "texts")
         return store(verify(texts, pairs, threshold), "links")
 
     found = links(first)
     labels = components(found)
-    rest = rest_pairs(buckets, nodes, labels, threshold).join(first, ["a", "b"], "left_anti")
+    rest = rest_pairs(buckets, nodes, labels, texts_of, threshold).join(first, ["a", "b"], "left_anti")
     rest = store(rest.join(first.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         more = links(rest)
