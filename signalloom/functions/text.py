@@ -88,4 +88,4 @@ def query_variants(topic: Column, most: int = 4) -> Column:
 
 def complete_date(text: Column) -> Column:
     """A date only where year, month and day are all given."""
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")))
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
