@@ -137,11 +137,13 @@ def encode_slice(c: Codec, s: B.Slice) -> list[tuple[bytes, bytes]]:
     return c.encode(texts)
 
 
-def _encode(path: str):
+def _encode(path: str, at: int):
+    """The text is field ``at`` of the one column, so that each text crosses to the worker once."""
+
     def run(batches):
         c = codec(path)
         for b in batches:
-            for s in B.slices(b.column(1)):
+            for s in B.slices(b.column(0).field(at)):
                 out = encode_slice(c, s)
                 flat = np.frombuffer(b"".join(x[0] for x in out), "<u4")
                 off = np.concatenate(([0], np.cumsum([len(x[0]) // 4 for x in out]))).astype(np.int32)
@@ -159,9 +161,9 @@ def encode_documents(df: DataFrame, text_col: str = "text", path: str | None = N
     gives an empty result.  ``path`` is the tokenizer's file.
     """
     path = path or tokenizer_path(VOCABULARY)
-    rows = df.select(F.struct("*").alias("original"), F.col(text_col).alias("text"))
+    rows = df.select(F.struct("*").alias("original"))
     kind = rows.schema["original"].dataType.simpleString()
-    return rows.mapInArrow(_encode(path), f"original {kind}, ids array<int>, decoded string")
+    return rows.mapInArrow(_encode(path, df.columns.index(text_col)), f"original {kind}, ids array<int>, decoded string")
 
 
 def _digests(path: str):
