@@ -26,7 +26,8 @@ from signalloom.llm import batch as B
 from signalloom.llm.common import documents
 
 ROLL, MEAN_CHUNK_BITS = 48, 9
-CHUNK_MEMO_BYTES, WORD_MEMO = 48 << 20, 400_000
+CHUNK_MEMO_BYTES, WORD_MEMO = 24 << 20, 400_000
+SLICE_BYTES, WORD_BATCH = 1 << 18, 4_000
 VOCABULARY = "word_bpe_49k.json"
 _white = re.compile(rb"[\x20\x09-\x0D]+")
 _codecs: dict[str, Codec] = {}
@@ -57,8 +58,8 @@ class Codec:
         if len(self.words) + len(new) > WORD_MEMO:
             self.words.clear()
         todo = list(new)
-        for a in range(0, len(todo), 20_000):
-            part = todo[a : a + 20_000]
+        for a in range(0, len(todo), WORD_BATCH):
+            part = todo[a : a + WORD_BATCH]
             for word, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
                 ids = e.ids
                 self.words[word] = np.array(ids, "<u4").tobytes(), " ".join(self.pieces[ids]).encode()
@@ -143,7 +144,7 @@ def _encode(path: str, at: int):
     def run(batches):
         c = codec(path)
         for b in batches:
-            for s in B.slices(b.column(0).field(at)):
+            for s in B.slices(b.column(0).field(at), SLICE_BYTES):
                 out = encode_slice(c, s)
                 flat = np.frombuffer(b"".join(x[0] for x in out), "<u4")
                 off = np.concatenate(([0], np.cumsum([len(x[0]) // 4 for x in out]))).astype(np.int32)
@@ -172,7 +173,7 @@ def _digests(path: str):
     def run(batches):
         c = codec(path)
         for b in batches:
-            for s in B.slices(b.column(1)):
+            for s in B.slices(b.column(1), SLICE_BYTES):
                 out = encode_slice(c, s)
                 yield pa.RecordBatch.from_arrays(
                     [
