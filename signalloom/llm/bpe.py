@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.llm import batch as B
-from signalloom.llm.common import documents
+from signalloom.llm.common import documents, small_batches
 
 ROLL, MEAN_CHUNK_BITS = 48, 9
 CHUNK_MEMO_BYTES, WORD_MEMO = 24 << 20, 400_000
@@ -162,7 +162,7 @@ def encode_documents(df: DataFrame, text_col: str = "text", path: str | None = N
     gives an empty result.  ``path`` is the tokenizer's file.
     """
     path = path or tokenizer_path(VOCABULARY)
-    rows = df.select(F.struct("*").alias("original"))
+    rows = small_batches(df).select(F.struct("*").alias("original"))
     kind = rows.schema["original"].dataType.simpleString()
     return rows.mapInArrow(_encode(path, df.columns.index(text_col)), f"original {kind}, ids array<int>, decoded string")
 
@@ -190,7 +190,7 @@ def _digests(path: str):
 def encode_digests(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """encode_documents with digests in place of ids and text: (original, n_tokens, ids_sha256, decoded_sha256)."""
     path = path or tokenizer_path(VOCABULARY)
-    rows = df.select(F.struct(*[c for c in df.columns if c != text_col]).alias("original"), F.col(text_col).alias("text"))
+    rows = small_batches(df).select(F.struct(*[c for c in df.columns if c != text_col]).alias("original"), F.col(text_col).alias("text"))
     kind = rows.schema["original"].dataType.simpleString()
     return rows.mapInArrow(_digests(path), f"original {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

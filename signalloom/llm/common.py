@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+ARROW_LIMIT, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +41,18 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of its session at most ARROW_BYTES (or one row) unless the session sets its own limit.
+
+    Both the JVM and the worker hold a batch; Spark's default of 64 MB a task, grown by doubling, is most
+    of the memory of operators that work on a megabyte at a time.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_LIMIT) in ("67108864b", "64MB", "64m"):
+        conf.set(ARROW_LIMIT, f"{ARROW_BYTES}b")
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

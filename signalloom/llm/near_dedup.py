@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.llm import batch as B
-from signalloom.llm.common import documents, row_key, store
+from signalloom.llm.common import documents, row_key, small_batches, store
 from signalloom.llm.components import components
 from signalloom.llm.fingerprints import BINS, packed, shingles
 
@@ -83,7 +83,7 @@ SKETCHED = "key long, id long, node long, n_kinds long, sketch array<long>, prin
 
 
 def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = df.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(df).select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches):
         for b in batches:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalloom.llm import batch as B
-from signalloom.llm.common import documents, row_key, store
+from signalloom.llm.common import documents, row_key, small_batches, store
 from signalloom.llm.moments import chi2_cdf, chi2_quantile, estimate, factor, gather
 from signalloom.llm.stats import COUNTS, NAMES, text_stats, vectors
 
@@ -34,7 +34,7 @@ PARAMS = "grp string, n long, mean array<double>, root array<double>"
 
 def measured(df: DataFrame, id_col: str, text_col: str, group_cols: tuple[str, ...]) -> DataFrame:
     """(key, id, grp, counts, v): a row's key, its group and the statistics of its text."""
-    rows = df.select(
+    rows = small_batches(df).select(
         row_key(id_col, text_col, *group_cols).alias("key"),
         F.col(id_col).cast("long").alias("id"),
         F.to_json(F.array(*[F.col(c).cast("string") for c in group_cols])).alias("grp"),

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.llm import batch as B
-from signalloom.llm.common import documents, partitions, row_key, store
+from signalloom.llm.common import documents, partitions, row_key, small_batches, store
 
 WINDOW, PART, GRAM = 35, 18, 8
 MIN_LOG_CELLS, MAX_LOG_CELLS, LOG_SHARD = 20, 29, 18
@@ -255,7 +255,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined by one space).  Rows with equal id and text count as separate places: each loses what
     the other repeats.  An empty table gives an empty result.
     """
-    marks = repeated_windows(df, id_col, text_col, window)
+    marks = repeated_windows(small_batches(df), id_col, text_col, window)
     rows = df.select(F.struct("*").alias("original"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
     both = rows.join(marks, "row", "left").select("original", "text", "marks")
     kind = rows.schema["original"].dataType.simpleString()
