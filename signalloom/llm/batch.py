@@ -8,6 +8,7 @@ white-space bytes unless another separator table is given; a null text counts as
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -85,6 +86,15 @@ class Words:
         return np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and the next stage runs beside them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without malloc_trim
+        pass
+
+
 def slices(col: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks() if col.num_chunks != 1 else col.chunk(0)

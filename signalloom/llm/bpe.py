@@ -26,7 +26,7 @@ from signalloom.llm import batch as B
 from signalloom.llm.common import documents, small_batches
 
 ROLL, MEAN_CHUNK_BITS = 48, 9
-CHUNK_MEMO_BYTES, WORD_MEMO = 24 << 20, 400_000
+CHUNK_MEMO_BYTES, WORD_MEMO, ENTRY_BYTES = 40 << 20, 400_000, 260
 SLICE_BYTES, WORD_BATCH = 1 << 18, 4_000
 VOCABULARY = "word_bpe_49k.json"
 _white = re.compile(rb"[\x20\x09-\x0D]+")
@@ -39,6 +39,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def cost(chunk: bytes, value: tuple[bytes, bytes]) -> int:
+    """Bytes that a memo's entry takes, objects and table included."""
+    return len(chunk) + len(value[0]) + len(value[1]) + ENTRY_BYTES
+
+
 class Codec:
     """A worker's tokenizer with its memos.  Values are (ids as little-endian uint32, decoded text)."""
 
@@ -91,14 +96,13 @@ class Codec:
         if len(self.words) + len(missing) > WORD_MEMO:
             missing = words
         self.learn(missing)
-        size = sum(2 * len(x) for x in fresh)
-        if self.chunk_bytes + size > CHUNK_MEMO_BYTES:
+        if self.chunk_bytes + sum(6 * len(x) + ENTRY_BYTES for x in fresh) > CHUNK_MEMO_BYTES:
             kept = {x: self.chunks[x] for plan in plans for kind, x in plan if kind and x in self.chunks}
-            self.chunks, self.chunk_bytes = kept, sum(map(len, kept)) * 2
+            self.chunks, self.chunk_bytes = kept, sum(cost(x, v) for x, v in kept.items())
         self.encoded_chunks += len(fresh)
         for inner, parts in fresh.items():
             self.chunks[inner] = self.join([self.words[x] for x in parts])
-        self.chunk_bytes += size
+        self.chunk_bytes += sum(cost(x, self.chunks[x]) for x in fresh)
         return [self.join([self.chunks[x] if kind else self.words[x] for kind, x in plan]) for plan in plans]
 
     @staticmethod
@@ -150,6 +154,7 @@ def _encode(path: str, at: int):
                 off = np.concatenate(([0], np.cumsum([len(x[0]) // 4 for x in out]))).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(off), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.rows), ids, pa.array([x[1] for x in out], pa.binary()).cast(pa.string())], names=["original", "ids", "decoded"])
+        B.give_back()
 
     return run
 
@@ -183,6 +188,7 @@ def _digests(path: str):
                     ],
                     names=["original", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        B.give_back()
 
     return run
 
