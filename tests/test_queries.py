@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from signalloom.plans.registry import ORACLES, QUERIES
+from signalloom.plans.gates import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -33,7 +33,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, duck, name):
     got, expected = QUERIES[name](spark, DIR).toPandas(), duck.sql(ORACLES[name]).df()
     assert sorted(got.columns) == sorted(expected.columns)
