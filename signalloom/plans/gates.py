@@ -8,7 +8,9 @@ from signalloom.functions import terms
 from signalloom.functions import text as T
 from signalloom.functions import vocabulary as V
 from signalloom.operators import gates as G
-from signalloom.plans.registry import AS_OF, FOLD, ORACLES, QUERIES, TOK, documents, query  # noqa: F401
+from signalloom.operators import profile as R
+from signalloom.plans.registry import AS_OF, BASE, FOLD, ORACLES, QUERIES, TOK, documents, query  # noqa: F401
+from signalloom.sources import pages as W
 from signalloom.sources import payloads as P
 
 _pick = lambda values, c="doc_id": F.array(*[F.lit(v) for v in values])[(F.col(c) % len(values)).cast("int")]
@@ -120,3 +122,26 @@ def leader_clusters(spark, d):
     rows = documents(spark, d).select("doc_id", F.substring("text", 1, 12).alias("k"))
     pairs = rows.select(F.col("doc_id").alias("a"), "k").join(rows.select(F.col("doc_id").alias("b"), "k"), "k").where("a < b AND (b - a) % 3 <> 0")
     return G.leaders(pairs)
+
+
+@query("trust_summary", f"{BASE}, n AS (SELECT cand, trust_level, count(*) AS n FROM d GROUP BY cand, trust_level) SELECT cand, string_agg(trust_level || ': ' || n, '; ' ORDER BY trust_level || ': ' || n) AS summary FROM n GROUP BY cand")
+def trust_summary(spark, d):
+    return R.trust_summary(documents(spark, d), "cand")
+
+
+@query("status_counts", f"{BASE} SELECT status, count(*) AS n FROM d GROUP BY status UNION ALL SELECT 'blocked', 0")
+def status_counts(spark, d):
+    return R.status_counts(documents(spark, d), "status", ["ok", "http_error", "blocked"])
+
+
+@query("linear_score", "SELECT doc_id, greatest(3.0, least(7.0, 2.5 + 0.5 * (doc_id % 7) + 1.25 * (doc_id % 3))) AS score FROM documents")
+def linear_score(spark, d):
+    number = lambda m: (F.col("doc_id") % m).cast("double")
+    rows = documents(spark, d).select("doc_id", F.create_map(F.lit("a"), number(7), F.lit("b"), number(3), F.lit("other"), F.lit(9.0)).alias("f"))
+    return R.linear_score(rows, "doc_id", "f", {"a": 0.5, "b": 1.25}, 2.5, 3, 7).select("doc_id", "score")
+
+
+@query("page_texts")
+def page_texts(spark, d):
+    """Main texts of raw pages; no SQL, tests hold the parser against small pages."""
+    return W.parse_pages(spark.read.parquet(f"{d}/pages.parquet"))
