@@ -8,7 +8,9 @@ log distances), and mean and covariance are estimated anew from it.  A reweighti
 follows.  Every step is one pass over the narrow table of vectors with sums gathered per
 group, so a group of any size is never in one task, and all rows count.
 
-A text is rejected if its squared Mahalanobis distance exceeds ``CUTOFF``.  Groups of fewer
+A text is rejected if its squared Mahalanobis distance exceeds ``CUTOFF``: the chi-squared quantile
+that one normal vector in ten thousand exceeds, times ``MARGIN`` for the tails of the transformed
+statistics, which are heavier than normal ones.  Groups of fewer
 than ``MIN_GROUP`` rows use the estimate of all rows.
 """
 
@@ -25,7 +27,9 @@ from signalloom.llm.moments import chi2_cdf, chi2_quantile, estimate, factor, ga
 from signalloom.llm.stats import COUNTS, NAMES, text_stats, vectors
 
 P = len(NAMES)
-COVERED, STEPS, MIN_GROUP, CUTOFF = 0.75, 3, 400, 120.0
+COVERED, STEPS, MIN_GROUP = 0.75, 3, 400
+REJECTED, MARGIN = 0.0001, 1.5
+CUTOFF = MARGIN * chi2_quantile(1 - REJECTED, P)
 FLOOR = np.array([0.03, 0.03, 0.03, 0.04, 0.06, 0.05, 0.10, 0.05])
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 ALL = "*"

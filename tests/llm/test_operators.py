@@ -1,6 +1,7 @@
 """The corpus operators against plain versions, on the driver's smallest table and on awkward rows."""
 
 import os
+import random
 from collections import Counter
 
 import brute
@@ -205,6 +206,21 @@ def test_quality_rules(docs, odd, none):
     assert quality_rules.filter_quality(odd).columns == odd.columns
 
 
+def prose(r, loud=0.0, stops=0.12, n=150):
+    """n invented words; a share of them ends in a stop, a share in an exclamation mark."""
+    ends = (("!", loud), (",", stops))
+    return " ".join("".join(r.choices("abcdefghinorstu", k=r.randint(2, 9))) + "".join(c for c, share in ends if r.random() < share) for _ in range(n)).capitalize()
+
+
+def test_quality_cutoff(spark):
+    r = random.Random(7)
+    rows = [(i, prose(r), "en", "a") for i in range(500)]
+    planted = [(1000 + i, prose(r, loud=0.14), "en", "a") for i in range(20)]
+    got = quality_rules.judge(spark.createDataFrame(rows + planted, COLUMNS)).collect()
+    assert not any(x["base_failed"] for x in got)
+    assert {x["id"] for x in got if not x["kept"]} == {i for i, *_ in planted}
+
+
 def test_mixing(docs, odd, none):
     for df in (docs, odd):
         out = mixing.mix(df).select("original.source", "size", "source_size", "target", "taken").collect()
