@@ -1,17 +1,18 @@
 """Quality rules: base rules, then robust multivariate outliers by minimum-covariance-determinant estimates.
 
 Each text gives a vector of transformed statistics (``stats.vectors``).  For every (language,
-source) group, and for all rows together, concentration steps look for the ``COVERED`` share
-of rows whose covariance has the least determinant: from medians and median deviations,
+source) group, every language and all rows together, concentration steps look for the ``COVERED``
+share of rows whose covariance has the least determinant: from medians and median deviations,
 distances are taken, the nearest share is kept (its limit comes from an exact histogram of
 log distances), and mean and covariance are estimated anew from it.  A reweighting step
-follows.  Every step is one pass over the narrow table of vectors with sums gathered per
+follows.  Then each language's estimate is drawn to that of all rows and each group's to its
+language's, as if ``PULL`` rows of the larger set were added: a large group keeps its own
+estimate, a small one has nearly its language's, and no size is a threshold.  Every step is one pass over the narrow table of vectors with sums gathered per
 group, so a group of any size is never in one task, and all rows count.
 
 A text is rejected if its squared Mahalanobis distance exceeds ``CUTOFF``: the chi-squared quantile
 that one normal vector in ten thousand exceeds, times ``MARGIN`` for the tails of the transformed
-statistics, which are heavier than normal ones.  Groups of fewer
-than ``MIN_GROUP`` rows use the estimate of all rows.
+statistics, which are heavier than normal ones.
 """
 
 from __future__ import annotations
@@ -27,13 +28,12 @@ from signalloom.llm.moments import chi2_cdf, chi2_quantile, estimate, factor, ga
 from signalloom.llm.stats import COUNTS, NAMES, text_stats, vectors
 
 P = len(NAMES)
-COVERED, STEPS, MIN_GROUP = 0.75, 3, 400
+COVERED, STEPS, PULL = 0.75, 3, 5 * P
 REJECTED, MARGIN = 0.0001, 1.5
 CUTOFF = MARGIN * chi2_quantile(1 - REJECTED, P)
 FLOOR = np.array([0.03, 0.03, 0.03, 0.04, 0.06, 0.05, 0.10, 0.05])
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-ALL = "*"
-PARAMS = "grp string, n long, mean array<double>, root array<double>"
+PARAMS = "grp string, n long, mean array<double>, cov array<double>, root array<double>"
 
 
 def measured(df: DataFrame, id_col: str, text_col: str, group_cols: tuple[str, ...]) -> DataFrame:
@@ -63,14 +63,45 @@ def _params(floor: np.ndarray, scale: float):
             for r in f.itertuples(index=False):
                 if r.n:
                     mean, cov = estimate(r.n, r.s1, r.s2)
-                    out.append((r.grp, r.n, mean.tolist(), factor(cov * scale, floor).ravel().tolist()))
+                    out.append((r.grp, r.n, mean.tolist(), (cov * scale).ravel().tolist(), factor(cov * scale, floor).ravel().tolist()))
             import pandas as pd
 
-            yield pd.DataFrame(out, columns=["grp", "n", "mean", "root"])
+            yield pd.DataFrame(out, columns=["grp", "n", "mean", "cov", "root"])
 
     return run
 
 
+def _drawn(floor: np.ndarray, pull: float):
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                own, gap = r.n / (r.n + pull), r.mean - r.up_mean
+                cov = (own * r.cov + (1 - own) * r.up_cov).reshape(P, P) + own * (1 - own) * np.outer(gap, gap)
+                out.append((r.grp, r.n, (r.up_mean + own * gap).tolist(), cov.ravel().tolist(), factor(cov, floor).ravel().tolist()))
+            yield pd.DataFrame(out, columns=["grp", "n", "mean", "cov", "root"])
+
+    return run
+
+
+def prefix(grp: str, k):
+    """The group of grp's first k values; none is all rows."""
+    return F.to_json(F.slice(F.from_json(grp, "array<string>"), F.lit(1), k))
+
+
+def drawn(params: DataFrame, levels: int, floor: np.ndarray = FLOOR, pull: float = PULL) -> DataFrame:
+    """The parameters of the groups of ``levels`` values, each drawn to its parent's, and that to its own parent's."""
+    level = params.withColumn("level", F.size(F.from_json("grp", "array<string>")))
+    up = level.where("level = 0").drop("level")
+    for k in range(1, levels + 1):
+        parents = up.select(F.col("grp").alias("parent"), F.col("mean").alias("up_mean"), F.col("cov").alias("up_cov"))
+        pairs = level.where(F.col("level") == k).withColumn("parent", prefix("grp", F.lit(k - 1))).join(parents, "parent")
+        up = pairs.select("grp", "n", "mean", "cov", "up_mean", "up_cov").mapInPandas(_drawn(floor, pull), PARAMS)
+    return up
+
+
 def distances(rows: DataFrame, params: DataFrame, *keep: str) -> DataFrame:
     """Squared Mahalanobis distance of each row of (.., grp, v) under its group's parameters."""
     both = rows.join(params.select("grp", "mean", "root"), "grp").select(*keep, "grp", "v", "mean", "root")
@@ -83,7 +114,7 @@ def distances(rows: DataFrame, params: DataFrame, *keep: str) -> DataFrame:
 
 
 def mcd(rows: DataFrame, floor: np.ndarray = FLOOR, covered: float = COVERED, steps: int = STEPS) -> DataFrame:
-    """(grp, n, mean, root) of the groups of rows (grp, v): root is the inverse Cholesky factor, row by row."""
+    """(grp, n, mean, cov, root) of the groups of rows (grp, v): n rows count in the estimate; root is the inverse Cholesky factor, row by row."""
     middle = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(F.col("v")[i], [0.5, 0.25, 0.75], 1000).alias(f"q{i}") for i in range(P)])
     mean = F.array(*[F.col(f"q{i}")[0] for i in range(P)])
     spread = [F.sqrt(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[1]) / 1.349, 2) + float(floor[i]) ** 2) for i in range(P)]
@@ -102,11 +133,11 @@ def mcd(rows: DataFrame, floor: np.ndarray = FLOOR, covered: float = COVERED, st
         else:
             near, scale = d.where(F.col("d2") <= chi2_quantile(0.975, P)), 0.975 / chi2_cdf(chi2_quantile(0.975, P), P + 2)
         found = gather(near, "grp", "v", P).mapInPandas(_params(floor, scale), PARAMS)
-        params = store(found.select("grp", "mean", "root").join(sizes, "grp").selectExpr("grp", "size as n", "mean", "root"), "mcd")
+        params = store(found, "mcd")
     return params
 
 
-def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
+def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
     """(key, id, counts, base_failed, distance, kept) for every row.
 
     Null texts count as empty; texts under ``MIN_WORDS`` words or with over ``MAX_REPEAT_PERCENT``
@@ -114,12 +145,10 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_c
     own.  Rows equal in id, text and group have one key and one verdict.  Empty table: no rows.
     """
     rows = store(measured(df, id_col, text_col, group_cols), "stats")
-    sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") >= min_group).select("grp", F.col("grp").alias("own"))
-    placed = rows.join(large, "grp", "left").withColumn("own", F.coalesce("own", F.lit(ALL)))
-    fit = placed.select(F.explode(F.array_distinct(F.array(F.lit(ALL), F.col("own")))).alias("grp"), "v")
-    params = mcd(fit)
-    judged = distances(placed.drop("grp").withColumnRenamed("own", "grp"), params, "key", "id", *COUNTS)
+    levels = len(group_cols)
+    fit = rows.select(F.explode(F.array(*[prefix("grp", F.lit(k)) for k in range(levels)], F.col("grp"))).alias("grp"), "v")
+    params = store(drawn(mcd(fit), levels), "drawn")
+    judged = distances(rows, params, "key", "id", *COUNTS)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return judged.select("key", "id", *COUNTS, failed.alias("base_failed"), F.col("d2").alias("distance"), (~failed & (F.col("d2") <= cutoff)).alias("kept"))
 

@@ -221,6 +221,15 @@ def test_quality_cutoff(spark):
     assert {x["id"] for x in got if not x["kept"]} == {i for i, *_ in planted}
 
 
+def test_quality_of_small_groups(spark):
+    r = random.Random(8)
+    rows = [(i, prose(r, stops=0.5 * (i % 2)), ("de", "en")[i % 2], "a") for i in range(600)]
+    planted = [(1000 + i, prose(r, stops=0.5), "de", "a") for i in range(5)]
+    alone = [(2000, prose(r, stops=0.0), "de", "b"), (2001, prose(r, stops=0.5), "en", "c")]
+    got = {x["id"]: x["kept"] for x in quality_rules.judge(spark.createDataFrame(rows + planted + alone, COLUMNS)).collect()}
+    assert {i for i, kept in got.items() if not kept} == {i for i, *_ in planted}
+
+
 def test_mixing(docs, odd, none):
     for df in (docs, odd):
         out = mixing.mix(df).select("original.source", "size", "source_size", "target", "taken").collect()
