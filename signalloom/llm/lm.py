@@ -3,20 +3,23 @@
 Tokens are lower-cased (A-Z) words and one end per text.  The model predicts a symbol from two
 context positions, then the word within the symbol:
 
-* the ``SHORTLIST`` most frequent words and the end are symbols of their own; every other word
-  belongs to one of ``CLASSES`` by its last letter and whether punctuation follows it;
-* the context is the symbol before and the latest shortlist word before that, which tells the
-  language and register over any distance.  Its representation is the sum of the two symbols'
-  vectors, each through its position's matrix; a symbol's score is the product with its own
-  vector plus a bias;
+* every word of at least ``sqrt(training tokens) / SPREAD`` occurrences, and the end, is a symbol of
+  its own, so the vocabulary grows with the corpus; every other word belongs to one of ``CLASSES``
+  by its last letter and whether punctuation follows it;
+* the context is the symbol before and the latest vocabulary word before that.  Its representation
+  is the sum of the two symbols' vectors, each through its position's matrix; a score is the product
+  with a vector plus a bias;
+* symbols are dealt by frequency into about sqrt(size) groups: the model predicts the group, then
+  the symbol within it, so exact probabilities cost two products with about sqrt(size) vectors;
 * within a class, words have their share of the training counts, and one unseen word has the
   share of words seen once.
 
-Parameters are trained in numpy on the counts of (symbol, context) over all training texts, a
-table bounded by the model's shape whatever the corpus; noise is drawn from symbol frequencies.
-Scoring normalises exactly: one batched matrix product gives the log-probabilities of all symbols
-in all contexts.  Word counts cover the whole training corpus and stay distributed: the
-``HEAD`` most frequent words are looked up in place, the rest through a join.
+Training takes every token of the training texts, in ``ROUNDS`` disjoint parts: in each, at most
+``LEARNERS`` tasks learn from their texts by noise-contrastive estimation, and their parameters are
+averaged by events; a corpus of under ``EVENTS`` tokens is gone through several times, whole in each
+round.  Scoring
+normalises exactly, in batched products per group.  Word counts cover the whole training corpus and
+stay distributed: the ``HEAD`` most frequent words are looked up in place, the rest through a join.
 """
 
 from __future__ import annotations
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 from signalloom.llm import batch as B
 from signalloom.llm.common import documents, held_out, store
 
-FOLDS, SHORTLIST, HEAD = 10, 86, 65_536
-DIM, STEPS, BATCH, NOISE, RATE, SEED = 24, 700, 4096, 64, 0.03, 5
+FOLDS, SPREAD, HEAD = 10, 12, 65_536
+DIM, BATCH, NOISE, RATE, SEED = 24, 16_384, 64, 0.15, 5
+ROUNDS, LEARNERS, EVENTS, BLOCK = 3, 64, 3 << 20, 1 << 20
+WIDTH, CHUNK = 96, 1 << 15
 SMOOTHING = 0.1
 FLUSH = 1 << 22
 END = np.array([0x5DEECE66D], B.U64)
@@ -89,7 +94,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 class Symbols:
-    """Maps tokens to symbols and contexts.  Symbol 0 is the end, then the shortlist, then the classes."""
+    """Maps tokens to symbols and contexts.  Symbol 0 is the end, then the vocabulary, then the classes."""
 
     def __init__(self, shortlist: np.ndarray):
         self.order = np.argsort(shortlist)
@@ -107,7 +112,7 @@ class Symbols:
         return out
 
     def contexts(self, sym: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The symbol before (the end at a text's start) and the latest shortlist word before that (else the end)."""
+        """The symbol before (the end at a text's start) and the latest vocabulary word before that (else the end)."""
         before = np.zeros(len(sym), np.int64)
         before[1:] = sym[:-1]
         before[at[:-1]] = 0
@@ -119,94 +124,172 @@ class Symbols:
         return before, np.where(anchor >= first, sym[np.maximum(anchor, 0)], 0)
 
 
-def context_counts(texts: DataFrame, symbols: Symbols) -> DataFrame:
-    """(code, n): how often each (symbol before, anchor, symbol) stands in the texts; at most size * (words + 1) * size rows."""
-    size, wide = symbols.size, symbols.words + 1
-    schema = pa.schema([("code", pa.int64()), ("n", pa.int64())])
+def _summed(at: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places of at and the sums of v's rows at each."""
+    order = np.argsort(at, kind="stable")
+    kinds, first = np.unique(at[order], return_index=True)
+    return kinds, np.add.reduceat(v[order], first)
 
-    def run(batches):
-        total = np.zeros(0, np.int64)
-        for b in batches:
-            for s in B.slices(b.column(0)):
-                h, cls, at = tokens(s)
-                sym = symbols.of(h, cls)
-                before, anchor = symbols.contexts(sym, at)
-                if not len(total):
-                    total = np.zeros(size * wide * size, np.int64)
-                total += np.bincount((before * wide + anchor) * size + sym, minlength=len(total))
-        code = np.flatnonzero(total)
-        if len(code):
-            yield B.table(schema, [code, total[code]])
 
-    return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def _nce(x: np.ndarray, y: np.ndarray, q: np.ndarray, b: np.ndarray, share: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradients for x, q and b of telling y from NOISE symbols drawn by share, which the rows have in common."""
+    reach = np.cumsum(share)
+    z = np.minimum(np.searchsorted(reach, rng.random(NOISE) * reach[-1]), len(share) - 1)
+    log_noise = np.log(NOISE * share / reach[-1] + 1e-30).astype(np.float32)
+    true = (x * q[y]).sum(1) + b[y] - log_noise[y]
+    false = x @ q[z].T + (b[z] - log_noise[z])
+    gt, gf = -1 / (1 + np.exp(np.clip(true, -30, 30))), 1 / (1 + np.exp(-np.clip(false, -30, 30)))
+    one = np.zeros((len(x), len(q)), np.float32)
+    one[np.arange(len(x)), y] = gt
+    drawn = np.zeros((NOISE, len(q)), np.float32)
+    drawn[np.arange(NOISE), z] = 1
+    return gt[:, None] * q[y] + gf @ q[z], one.T @ x + drawn.T @ (gf.T @ x), one.sum(0) + gf.sum(0) @ drawn
 
 
 class LogBilinear:
     """Vectors, position matrices and biases over ``size`` symbols; the second position has ``wide`` of them."""
 
-    def __init__(self, size: int, wide: int, dim: int = DIM, seed: int = SEED):
+    def __init__(self, size: int, wide: int, counts: np.ndarray | None = None, dim: int = DIM, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.p = {
+        share = (np.zeros(size) if counts is None else counts) + 0.5
+        groups = int(np.ceil(np.sqrt(size)))
+        most = -(-size // groups)
+        rank = np.empty(size, np.int64)
+        rank[np.argsort(-share, kind="stable")] = np.arange(size)
+        self.group, self.slot, self.size, self.wide = rank // most, rank % most, size, wide
+        groups = int(self.group.max()) + 1
+        self.share = np.zeros((groups, most))
+        self.share[self.group, self.slot] = share / share.sum()
+        with np.errstate(divide="ignore"):
+            inside = np.maximum(np.log(self.share / self.share.sum(1, keepdims=True)), -1e9)
+        p = {
             "r": rng.normal(0, 0.3, (size, dim)),
             "s": rng.normal(0, 0.3, (wide, dim)),
             "c": np.stack((np.eye(dim), np.eye(dim))),
-            "q": rng.normal(0, 0.3, (size, dim)),
-            "b": np.zeros(size),
+            "u": rng.normal(0, 0.1, (groups, dim)),
+            "d": np.log(self.share.sum(1)),
+            "q": rng.normal(0, 0.1, (groups, most, dim)),
+            "b": inside,
         }
+        self.p = {k: v.astype(np.float32) for k, v in p.items()}
+        self.fresh()
 
-    def train(self, code: np.ndarray, n: np.ndarray, steps: int = STEPS, seed: int = SEED) -> LogBilinear:
-        """Noise-contrastive estimation with Adam: true symbols against NOISE drawn by frequency, shared in a batch."""
-        size, wide = len(self.p["r"]), len(self.p["s"])
-        if not len(code):
-            return self
-        rng = np.random.default_rng(seed)
-        before, anchor, sym = code // size // wide, code // size % wide, code % size
-        share = np.bincount(sym, n, size) + 0.5
-        share /= share.sum()
-        self.p["b"] = np.log(share)
-        reach, noise_reach = np.cumsum(n) / n.sum(), np.cumsum(share)
-        log_noise = np.log(NOISE * share)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        for t in range(1, steps + 1):
-            i = np.minimum(np.searchsorted(reach, rng.random(BATCH)), len(code) - 1)
-            z = np.minimum(np.searchsorted(noise_reach, rng.random(NOISE)), size - 1)
-            a, c, y = before[i], anchor[i], sym[i]
-            ra, sc, p = self.p["r"][a], self.p["s"][c], self.p
-            context = ra @ p["c"][0] + sc @ p["c"][1]
-            true = (context * p["q"][y]).sum(1) + p["b"][y] - log_noise[y]
-            false = context @ p["q"][z].T + p["b"][z] - log_noise[z]
-            gt, gf = -1 / (1 + np.exp(np.clip(true, -30, 30))) / BATCH, 1 / (1 + np.exp(-np.clip(false, -30, 30))) / BATCH
-            d = gt[:, None] * p["q"][y] + gf @ p["q"][z]
-            g = {k: np.zeros_like(x) for k, x in p.items()}
-            g["c"] = np.stack((ra.T @ d, sc.T @ d))
-            one = np.zeros((BATCH, size))
-            rows = np.arange(BATCH)
-            one[rows, y] = gt
-            g["q"] = one.T @ context
-            np.add.at(g["q"], z, gf.T @ context)
-            g["b"] = one.sum(0)
-            np.add.at(g["b"], z, gf.sum(0))
-            one[:] = 0
-            one[rows, a] = 1
-            g["r"] = one.T @ (d @ p["c"][0].T)
-            two = np.zeros((BATCH, wide))
-            two[rows, c] = 1
-            g["s"] = two.T @ (d @ p["c"][1].T)
-            rate = RATE * min(1.0, 2 * (1 - t / (steps + 1)))
-            for k in p:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-                p[k] = p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+    def fresh(self) -> None:
+        """Forgets the sums of squared gradients."""
+        self.squares = {k: np.ones_like(v) for k, v in self.p.items()}
+
+    def _move(self, k: str, at, g: np.ndarray, rate: float) -> None:
+        self.squares[k][at] += g * g
+        self.p[k][at] -= rate * g / np.sqrt(self.squares[k][at])
+
+    def _by_group(self, y: np.ndarray):
+        g = self.group[y]
+        order = np.argsort(g, kind="stable")
+        bounds = np.searchsorted(g[order], np.arange(len(self.share) + 1))
+        return ((k, order[bounds[k] : bounds[k + 1]]) for k in np.flatnonzero(np.diff(bounds)))
+
+    def step(self, before: np.ndarray, anchor: np.ndarray, y: np.ndarray, rng, rate: float = RATE) -> None:
+        """One step on these events: the true group and symbol against groups, and symbols of the group, drawn by frequency."""
+        p = self.p
+        r, s = p["r"][before], p["s"][anchor]
+        x = r @ p["c"][0] + s @ p["c"][1]
+        dx, du, dd = _nce(x, self.group[y], p["u"], p["d"], self.share.sum(1), rng)
+        for k, rows in self._by_group(y):
+            d, dq, db = _nce(x[rows], self.slot[y[rows]], p["q"][k], p["b"][k], self.share[k], rng)
+            dx[rows] += d
+            self._move("q", k, dq, rate)
+            self._move("b", k, db, rate)
+        places = _summed(before, dx @ p["c"][0].T), _summed(anchor, dx @ p["c"][1].T)
+        self._move("c", slice(None), np.stack((r.T @ dx, s.T @ dx)), rate)
+        self._move("u", slice(None), du, rate)
+        self._move("d", slice(None), dd, rate)
+        for k, (at, g) in zip("rs", places, strict=True):
+            self._move(k, at, g, rate)
+
+    def train(self, code: np.ndarray, n: np.ndarray, steps: int, seed: int = SEED) -> LogBilinear:
+        """Steps on BATCH events each, drawn from counts n of (before * wide + anchor) * size + symbol."""
+        rng, reach = np.random.default_rng(seed), np.cumsum(n) / np.sum(n)
+        for _ in range(steps):
+            c = code[np.minimum(np.searchsorted(reach, rng.random(BATCH)), len(code) - 1)]
+            self.step(c // self.size // self.wide, c // self.size % self.wide, c % self.size, rng)
         return self
 
+    def log10(self, before: np.ndarray, anchor: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Normalised log10 probabilities of the events."""
+        out = np.empty(len(y))
+        for i in range(0, len(y), CHUNK):
+            a, c, t = (v[i : i + CHUNK] for v in (before, anchor, y))
+            x = self.p["r"][a] @ self.p["c"][0] + self.p["s"][c] @ self.p["c"][1]
+            part = _log_share(x @ self.p["u"].T + self.p["d"], self.group[t])
+            for k, rows in self._by_group(t):
+                part[rows] += _log_share(x[rows] @ self.p["q"][k].T + self.p["b"][k], self.slot[t[rows]])
+            out[i : i + CHUNK] = part
+        return out / np.log(10)
+
     def log10_table(self) -> np.ndarray:
-        """[symbol before, anchor, symbol]: normalised log10 probabilities, by batched matrix products."""
-        p = self.p
-        context = (p["r"] @ p["c"][0])[:, None, :] + (p["s"] @ p["c"][1])[None, :, :]
-        scores = context @ p["q"].T + p["b"]
-        scores -= scores.max(-1, keepdims=True)
-        return (scores - np.log(np.exp(scores).sum(-1, keepdims=True))) / np.log(10)
+        """[symbol before, anchor, symbol]: all of a small model's log10 probabilities."""
+        shape = (self.size, self.wide, self.size)
+        return self.log10(*(v.ravel() for v in np.indices(shape))).reshape(shape)
+
+    def flat(self) -> np.ndarray:
+        x = np.concatenate([v.ravel() for v in self.p.values()])
+        return np.pad(x, (0, -len(x) % WIDTH)).reshape(-1, WIDTH)
+
+    def put(self, flat: np.ndarray) -> None:
+        at, flat = 0, flat.ravel()
+        for k, v in self.p.items():
+            self.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
+            at += v.size
+        self.fresh()
+
+
+def _log_share(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
+    most = scores.max(1)
+    return scores[np.arange(len(y)), y] - most - np.log(np.exp(scores - most[:, None]).sum(1))
+
+
+def learn(texts: DataFrame, symbols: Symbols, model: LogBilinear, passes: int) -> None:
+    """Trains the model on all tokens of the rows (text) once, or at least ``passes`` times: then every round has all texts."""
+
+    def learner(rate: float, seed: int):
+        def run(batches):
+            rng, held, size, events = np.random.default_rng(seed), [], 0, 0
+
+            def work():
+                before, anchor, y = (np.concatenate(v) for v in zip(*held, strict=True))
+                for _ in range(-(-passes // ROUNDS)):
+                    order = rng.permutation(len(y))
+                    for i in range(0, len(y), BATCH):
+                        at = order[i : i + BATCH]
+                        model.step(before[at], anchor[at], y[at], rng, rate)
+
+            for b in batches:
+                for s in B.slices(b.column(0)):
+                    h, cls, at = tokens(s)
+                    y = symbols.of(h, cls)
+                    held.append((*symbols.contexts(y, at), y))
+                    size += len(y)
+                    events += len(y)
+                    if size > BLOCK:
+                        work()
+                        held, size = [], 0
+            if held:
+                work()
+            if events:
+                x = model.flat()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * WIDTH), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(np.full(len(x), events)), lists], names=["i", "w", "x"])
+
+        return run
+
+    for k in range(ROUNDS):
+        part = (texts if passes > 1 else texts.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k)).coalesce(LEARNERS)
+        found = part.mapInArrow(learner(RATE / (k + 1), SEED + k), "i long, w long, x array<float>")
+        sums = found.groupBy("i").agg(F.sum("w").alias("w"), *[F.sum(F.col("x")[j] * F.col("w").cast("double")).alias(f"x{j}") for j in range(WIDTH)])
+        got = sums.select("i", *[(F.col(f"x{j}") / F.col("w")).cast("float").alias(f"x{j}") for j in range(WIDTH)]).toArrow()
+        if got.num_rows:
+            x = np.stack([np.asarray(got.column(f"x{j}")) for j in range(WIDTH)], axis=1)
+            model.put(x[np.argsort(np.asarray(got.column("i")))])
 
 
 SCORED = "uid long, id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<h:long,cls:int,n:int>>"
@@ -222,14 +305,12 @@ def score_rows(rows: DataFrame, symbols: Symbols, model: LogBilinear, head_h: np
     names = [x.split()[0] for x in SCORED.split(", ")[:7]]
 
     def run(batches):
-        flat = model.log10_table().ravel()
-        size, wide = symbols.size, symbols.words + 1
         for b in batches:
             for s in B.slices(b.column(3)):
                 h, cls, at = tokens(s)
                 sym = symbols.of(h, cls)
                 before, anchor = symbols.contexts(sym, at)
-                score = flat[(before * wide + anchor) * size + sym]
+                score = model.log10(before, anchor, sym)
                 place = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
                 have = known[place] == h if len(known) else np.zeros(len(h), bool)
                 c = count[place] if len(known) else np.zeros(len(h))
@@ -267,16 +348,19 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     head = counts.orderBy(F.desc("n"), "h").limit(HEAD).toArrow()
     head_h, head_n = (np.asarray(head.column(c)) for c in ("h", "n"))
-    short = head_h[head_h != end][:SHORTLIST]
+    least = max(2, int(np.sqrt(total) / SPREAD))
+    frequent = counts.where((F.col("n") >= least) & (F.col("h") != end)).orderBy(F.desc("n"), "h").toArrow()
+    short, short_n = (np.asarray(frequent.column(c)) for c in ("h", "n"))
     symbols = Symbols(short.view(B.U64))
-    model = LogBilinear(symbols.size, symbols.words + 1)
-    seen = context_counts(train, symbols).orderBy("code").toArrow()
-    model.train(np.asarray(seen.column("code")), np.asarray(seen.column("n")))
-    inner = np.zeros((CLASSES, 2))
-    left = counts.where((F.col("cls") >= 0) & ~F.col("h").isin([int(x) for x in short]))
+    inner, class_n = np.zeros((CLASSES, 2)), np.zeros(CLASSES)
+    left = counts.where((F.col("cls") >= 0) & (F.col("n") < least))
     for cls, n, once in left.groupBy("cls").agg(F.sum("n"), F.count_if(F.col("n") == 1)).collect():
         unseen = (once + 0.5) / (n + 1.0)
-        inner[cls] = np.log10((1 - unseen) / n), np.log10(unseen)
+        inner[cls], class_n[cls] = (np.log10((1 - unseen) / n), np.log10(unseen)), n
+    ends = total - short_n.sum() - class_n.sum()
+    model = LogBilinear(symbols.size, symbols.words + 1, np.concatenate(([ends], short_n, class_n)))
+    if total:
+        learn(train, symbols, model, max(1, -(-EVENTS // total)))
     part = score_rows(rows.select(F.monotonically_increasing_id().alias("uid"), "*"), symbols, model, head_h.view(B.U64), head_n, inner)
     part = store(part, "scored")
     rest = part.select("uid", F.inline("rest")).join(counts.select("h", F.col("n").alias("c")), "h", "left")

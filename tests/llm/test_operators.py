@@ -162,6 +162,15 @@ def test_lm(docs, odd, none):
     assert lm.score_texts(none).count() == 0
 
 
+def test_lm_words_follow_their_context(spark):
+    r = random.Random(9)
+    starts = [r.randrange(300) for _ in range(200)]
+    rows = [(i, " ".join(f"w{(a + 7 * k) % 300}" for k in range(150)), "en", "a") for i, a in enumerate(starts)]
+    got = lm.score_texts(spark.createDataFrame(rows, COLUMNS)).collect()
+    held = [x for x in got if x["held_out"]]
+    assert held and sum(x["score"] for x in held) > 0.4 * sum(x["base_score"] for x in held)
+
+
 def test_lm_is_normalised():
     import numpy as np
 
