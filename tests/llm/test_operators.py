@@ -262,3 +262,35 @@ def test_pipeline(spark):
     assert rows and all(r["n_tokens"] > 0 for r in rows if r["text"])
     plain = brute.bpe(list(enumerate(r["text"] for r in rows)), public_tokenizers.path("word_bpe_49k.json"))
     assert all((r["n_tokens"], brute.sha(r["decoded"])) == (plain[k][0], plain[k][2]) for k, r in enumerate(rows))
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    r = random.Random(10)
+    plain = {i: prose(r) for i in range(120)}
+    shared = prose(r, n=40)
+    plain |= {i: f"{plain[i]} {shared} {prose(r, n=20)}" for i in (3, 50)}
+    copies = {200 + i: " ".join([*plain[i].split()[:70], "changed", *plain[i].split()[71:]]) for i in range(10, 16)}
+    loud = {300 + i: prose(r, loud=0.3) for i in range(5)}
+    rows = {**plain, **copies, **loud}
+    docs = spark.createDataFrame([(i, t, "en", "ab"[i % 2], len(t)) for i, t in rows.items()], COLUMNS + ", n_chars long")
+    (_, quality), (_, near), (_, substring), (_, mixing_stage), (_, encode) = corpus_pipeline.STAGES
+    kept = common.store(quality(spark, docs, DIR), "test")
+    assert dict(texts(kept)) == {**plain, **copies} and kept.count() == len(plain) + len(copies)
+    single = common.store(near(spark, kept, DIR), "test")
+    pairs = {b for a in rows for b in rows if a < b < 300 and brute.jaccard(rows[a], rows[b]) >= 0.8}
+    assert pairs == set(copies) and sorted(texts(single)) == sorted(plain.items())
+    cut = common.store(substring(spark, single, DIR), "test")
+    want = brute.substring_dedup(plain.items())
+    assert {i for i, w in want.items() if w[1]} == {3, 50}
+    assert all(brute.sha(t) == want[i][2] if want[i][1] else t == plain[i] for i, t in texts(cut)) and cut.count() == len(plain)
+    mixed = common.store(mixing_stage(spark, cut, DIR), "test")
+    size, taken, left = Counter(), Counter(), dict(texts(cut))
+    for i, t in left.items():
+        size["ab"[i % 2]] += len(t.split())
+    for i, t in texts(mixed):
+        taken["ab"[i % 2]] += len(t.split())
+        assert left[i].split()[: len(t.split())] == t.split()
+    assert all(abs(taken[x] - n) <= 1 for x, n in brute.targets(dict(size)).items())
+    assert sorted(texts(encode(spark, mixed, DIR))) == sorted(texts(mixed))
