@@ -17,7 +17,9 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
 U64 = np.uint64
-MULTIPLIERS = (6364136223846793005, 3935559000370003845)
+GOLDEN = U64(0x9E3779B97F4A7C15)
+SEEDS = 2
+TABLE_WIDTH = 32
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -35,27 +37,44 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_CODE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
-_powers: dict[int, np.ndarray] = {}
+BYTE_CODE = mix(np.arange(1, 257, dtype=U64) * GOLDEN)
+#: PLACED[seed][place * 256 + byte]: what a byte adds to its span's hash, by its place in the span.
+PLACED = [mix(np.tile(mix(BYTE_CODE + U64(seed)), TABLE_WIDTH) + np.repeat(np.arange(TABLE_WIDTH, dtype=U64), 256) * GOLDEN) for seed in range(SEEDS)]
 
 
-def powers(n: int, base: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, SLICE_BYTES + 1), base, U64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if n <= SLICE_BYTES + 1:
-            _powers[base] = have
-    return have[:n]
+def places(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all members of the spans, one after another: index, place within the span; and where each span begins (spans + 1 numbers)."""
+    size = ends - starts
+    at = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=at[1:])
+    whole = np.arange(at[-1])
+    return whole + np.repeat(starts - at[:-1], size), whole - np.repeat(at[:-1], size), at
 
 
-def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = MULTIPLIERS[0]) -> np.ndarray:
-    """Polynomial hashes of codes[start:end], the same wherever the span stands."""
-    sums = np.zeros(len(codes) + 1, U64)
-    np.cumsum(codes * powers(len(codes), base), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(len(codes) + 1, pow(base, -1, 1 << 64))[starts])
+def _summed(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(values) + 1, U64)
+    np.cumsum(values, out=sums[1:])
+    return mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(np.diff(at).astype(U64) * GOLDEN))
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of the byte spans: sums of scrambled (byte, place) pairs, so that no structure of a text cancels out.
+
+    Two seeds give independent hashes.
+    """
+    index, place, at = places(starts, ends)
+    byte = data[index].astype(np.int64)
+    values = PLACED[seed][(np.minimum(place, TABLE_WIDTH - 1) << 8) | byte]
+    far = np.flatnonzero(place >= TABLE_WIDTH)
+    if len(far):
+        values[far] = mix(values[far] + place[far].astype(U64) * GOLDEN)
+    return _summed(values, at)
+
+
+def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of codes[start:end] of 64-bit codes, built in the same way."""
+    index, place, at = places(starts, ends)
+    return _summed(mix(mix(codes[index] + U64(seed)) + place.astype(U64) * GOLDEN), at)
 
 
 @dataclass
@@ -133,18 +152,25 @@ def words(s: Slice, separators: np.ndarray = WHITE) -> Words:
     return spans(s, separators[s.data])
 
 
-def word_hashes(s: Slice, w: Words, lower: bool = False) -> np.ndarray:
-    codes = (BYTE_CODE[LOWER] if lower else BYTE_CODE)[s.data]
-    return span_hashes(codes, w.starts, w.ends)
+def word_hashes(s: Slice, w: Words, lower: bool = False, seed: int = 0) -> np.ndarray:
+    return byte_hashes(LOWER[s.data] if lower else s.data, w.starts, w.ends, seed)
 
 
-def gram_hashes(h: np.ndarray, k: int, base: int = MULTIPLIERS[0]) -> np.ndarray:
-    """Hashes of every k consecutive numbers of h, row ends not regarded."""
+def gram_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Hashes of every k consecutive numbers of h, row ends not regarded: pairs, pairs of pairs and so on, scrambled at each step."""
     m = len(h) - k + 1
     if m <= 0:
         return np.zeros(0, U64)
-    at = np.arange(m)
-    return span_hashes(h if base == MULTIPLIERS[0] else mix(h ^ U64(base)), at, at + k, base)
+    now, width, done, out = mix(h + U64(seed)), 1, 0, None
+    while True:
+        if k & width:
+            part = now[done : done + m]
+            out = part if out is None else mix(out * GOLDEN + part)
+            done += width
+        if done == k:
+            return out
+        now = mix(now[: len(now) - width] * GOLDEN + now[width:])
+        width *= 2
 
 
 def inside(w: Words, k: int) -> np.ndarray:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from signalloom.llm.common import store
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of edges (a, b): label is the least node of the component."""
     both = store(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
     labels = store(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels")
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("least"))
         new = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "least").alias("label"))
         new = store(new, "labels")
@@ -21,4 +21,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = jumped.select("node", "label")
         if jumped.where("old <> label").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")

@@ -40,7 +40,7 @@ def shingles(s: B.Slice, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     ok = np.flatnonzero(B.inside(w, k))
     row = w.row
     short = np.flatnonzero((w.counts > 0) & (w.counts < k))
-    whole = B.span_hashes(h, w.at[short], w.at[short + 1], B.MULTIPLIERS[1])
+    whole = B.span_hashes(h, w.at[short], w.at[short + 1])
     return np.concatenate((B.gram_hashes(h, k)[ok], whole)), np.concatenate((row[ok], short))
 
 
@@ -145,7 +145,8 @@ def edit_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Each document's fingerprint against its edited text's and the next document's, by descending id.
 
     Equal ids are ordered by their text's hash, null ids come last, and after the last document
-    comes the first (a single one follows itself).  Null texts count as empty.  Documents are dealt
+    comes the first (a single one follows itself).  Null texts count as empty; texts of any length are
+    taken whole; only id_col and text_col are read.  Documents are dealt
     into ranges of ids; a range's last document gets a copy of the next range's first, so no range
     needs another's rows.
     """
@@ -153,10 +154,15 @@ def edit_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     order = ["no_id", "down", "hash"]
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumns({"no_id": F.col("id").isNull(), "down": F.expr("coalesce(-id, 0L)"), "hash": F.xxhash64("text")})
     n = 4 * partitions(spark)
-    edges = rows.agg(F.percentile_approx("down", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
-    edges = sorted(set(edges))
-    bounds = F.array(*[F.lit(x) for x in edges]) if edges else F.array().cast("array<bigint>")
-    part = F.when(F.col("no_id"), len(edges) + 1).otherwise(F.size(F.filter(bounds, lambda x: x < F.col("down"))))
+    known = F.when(~F.col("no_id"), F.col("down"))
+    edges, size, none = rows.agg(F.percentile_approx(known, [i / n for i in range(1, n)], 20 * n), F.count(F.lit(1)), F.count_if("no_id")).first()
+    # An id that fills several ranges has them dealt by hash, and so have the rows without id.
+    edges = sorted(edges or [])
+    below = F.array(*[F.lit(x) for x in edges]) if edges else F.array().cast("array<bigint>")
+    ahead, equal = F.size(F.filter(below, lambda x: x < F.col("down"))), F.size(F.filter(below, lambda x: x == F.col("down")))
+    place = (F.col("hash") / 2.0**64 + 0.5).cast("double")
+    last = len(edges) + 1
+    part = F.when(F.col("no_id"), last + F.least(F.floor(place * (1 + none * n // max(size, 1))), F.lit(none * n // max(size, 1)))).otherwise(ahead + F.least(F.floor(place * F.greatest(equal, F.lit(1))), F.greatest(equal - 1, F.lit(0))))
     rows = rows.withColumn("part", part.cast("int"))
     heads = sorted(rows.groupBy("part").agg(F.min(F.struct(*order)).alias("head")).select("part", "head.*").collect())
     if not heads:

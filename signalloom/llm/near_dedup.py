@@ -14,12 +14,16 @@ in the first sketch it shares only, and goes on only if the sets of its k-mers'
 belong to a link.  So no pair within a bucket is left out, and a large group whose members link to its
 centre costs one comparison each.
 
-Verification aligns the two word sequences within the band that the threshold leaves, and counts
-the KMER-word runs that the alignment matches: similarity is matched / (all - matched).
+Verification aligns the two texts' distinct KMER-word sequences, each where it first stands, within
+the band that the threshold leaves: similarity is aligned / (all - aligned), which is the likeness of
+the two sets where their order agrees.  As no sequence stands twice, the best alignment is a longest
+increasing run of places; it takes memory in proportion to the texts.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,7 +83,7 @@ def order_sketches(s: B.Slice) -> tuple[np.ndarray, np.ndarray]:
     return out, np.bincount(row, kinds, s.rows).astype(np.int64)
 
 
-SKETCHED = "key long, id long, node long, n_kinds long, sketch array<long>, print binary"
+SKETCHED = "key binary, id long, n1 long, n2 long, n_kinds long, sketch array<long>, print binary"
 
 
 def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -90,7 +94,7 @@ def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for s in B.slices(b.column(2)):
                 w = B.words(s)
                 h = B.word_hashes(s, w)
-                node = B.span_hashes(h, w.at[:-1], w.at[1:], B.MULTIPLIERS[1]) if len(h) else np.zeros(s.rows, B.U64)
+                n1, n2 = (pa.array(B.span_hashes(x, w.at[:-1], w.at[1:], seed).view(np.int64)) for seed, x in enumerate((h, B.word_hashes(s, w, seed=1))))
                 values, kinds = order_sketches(s)
                 kinds[w.counts < KMER] = 0
                 sketch = pa.ListArray.from_arrays(pa.array(np.arange(s.rows + 1, dtype=np.int32) * SKETCHES), pa.array(values.view(np.int64).ravel()))
@@ -98,81 +102,81 @@ def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 off = np.arange(s.rows + 1, dtype=np.int32) * BINS
                 binary = pa.BinaryArray.from_buffers(pa.binary(), s.rows, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(prints.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(s.first, s.rows), b.column(1).slice(s.first, s.rows), pa.array(node.view(np.int64)), pa.array(kinds), sketch, binary], names=["key", "id", "node", "n_kinds", "sketch", "print"]
+                    [b.column(0).slice(s.first, s.rows), b.column(1).slice(s.first, s.rows), n1, n2, pa.array(kinds), sketch, binary], names=["key", "id", "n1", "n2", "n_kinds", "sketch", "print"]
                 )
 
     return rows.mapInArrow(run, SKETCHED)
 
 
-def aligned_runs(a: list, b: list, most: int) -> list[tuple[int, int]] | None:
-    """Matched runs (start in a, length) of a shortest script of at most ``most`` insertions and deletions."""
-    n, m = len(a), len(b)
-    diagonals: dict[int, int] = {1: 0}
-    trace = []
-    for d in range(most + 1):
-        now = {}
-        for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and diagonals.get(k - 1, -1) < diagonals.get(k + 1, -1))
-            x = start = diagonals[k + 1] if down else diagonals[k - 1] + 1
-            while x < n and x - k < m and a[x] == b[x - k]:
-                x += 1
-            now[k] = (x, start, k + 1 if down else k - 1)
-            if x >= n and x - k >= m:
-                trace.append(now)
-                runs = []
-                for step in reversed(trace):
-                    x, start, k2 = step[k]
-                    if x > start:
-                        runs.append((start, x - start))
-                    k = k2
-                return runs[::-1]
-        trace.append(now)
-        diagonals = {k: v[0] for k, v in now.items()}
-    return None
-
-
-def alignment_similarity(a: list, b: list, threshold: float = SIMILARITY, k: int = KMER) -> float:
-    """Distinct k-word sequences in the alignment's matched runs over all distinct ones.
-
-    The band is as wide as words can stand unmatched if the threshold is met; 0 outside it.
+def increasing(places: np.ndarray) -> int:
+    """Length of a longest increasing subsequence of different numbers."""
+    if len(places) < 2 or (np.diff(places) > 0).all():
+        return len(places)
+    ends: list[int] = []
+    for x in places.tolist():
+        if not ends or x > ends[-1]:
+            ends.append(x)
+        else:
+            ends[bisect_left(ends, x)] = x
+    return len(ends)
+
+
+def alignment_similarity(x: np.ndarray, y: np.ndarray, threshold: float = SIMILARITY) -> float:
+    """Aligned k-mers over all, of two texts' distinct k-mers in the order in which they first stand; 0 below the threshold.
+
+    The band is as wide as k-mers can stand unmatched if the threshold is met; matches outside it
+    belong to no alignment that does.
     """
-    if a == b:
-        return 1.0
-    if len(a) < k or len(b) < k:
-        return 0.0
-    x, y = (_kinds(t, k) for t in (a, b))
-    common = len(x & y)
-    if common < threshold * (len(x) + len(y) - common) - 1e-9:
+    all_of = len(x) + len(y)
+    need = threshold * all_of / (1 + threshold) - 1e-9
+    if not all_of or min(len(x), len(y)) < need:
         return 0.0
-    spare = max(len(a) - len(x), 0) + max(len(b) - len(y), 0)
-    runs = aligned_runs(a, b, int((len(x) + len(y)) * (1 - threshold) / (1 + threshold) + spare + 1))
-    if runs is None:
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    band = all_of - 2 * need
+    inside = np.abs(i - j) <= band
+    if inside.sum() < need:
         return 0.0
-    matched = set()
-    for at, n in runs:
-        matched |= _kinds(a[at : at + n], k)
-    return len(matched) / (len(x) + len(y) - len(matched))
+    i, j = i[inside], j[inside]
+    n = increasing(j[np.argsort(i)])
+    return n / (all_of - n) if n >= need else 0.0
+
 
+def kmers(texts: DataFrame, short: bool = False) -> DataFrame:
+    """(node, kmers): 64-bit hashes of the distinct k-mers of rows (node, text), in the order in which they first stand.
+
+    If ``short``, their distinct leading 16 bits.
+    """
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for s in B.slices(b.column(1)):
+                h, row = shingles(s, KMER)
+                at = np.lexsort((np.arange(len(h)), h, row))
+                first = np.ones(len(h), bool)
+                first[1:] = (h[at][1:] != h[at][:-1]) | (row[at][1:] != row[at][:-1])
+                kept = np.sort(at[first])
+                kept = kept[np.argsort(row[kept], kind="stable")]
+                cut = np.searchsorted(row[kept], np.arange(s.rows + 1))
+                for i, j in zip(cut, cut[1:], strict=False):
+                    own = h[kept[i:j]]
+                    out.append((np.unique(own >> B.U64(48)).astype("<u2") if short else own).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["node", "kmers"])
 
-def _kinds(words: list, k: int) -> set:
-    n = max(0, len(words) - k + 1)
-    return set(zip(*(words[j : n + j] for j in range(k)), strict=True))
+    return texts.select("node", "text").mapInArrow(run, "node long, kmers binary")
 
 
 def verify(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts (node, text) are linked."""
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    """The pairs (a, b) of nodes whose texts (node, kmers) are linked."""
+    one = texts.select(F.col("node").alias("a"), F.col("kmers").alias("x"))
+    two = texts.select(F.col("node").alias("b"), F.col("kmers").alias("y"))
 
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for batch in batches:
-            keep = []
             xs, ys = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                a, b = (c[i].as_py().encode().split() for c in (xs, ys))
-                keep.append(alignment_similarity(a, b, threshold) >= threshold - 1e-9)
-            mask = pa.array(keep, pa.bool_())
+            pick = lambda c, i: np.frombuffer(c[i].as_buffer(), B.U64)
+            mask = pa.array([alignment_similarity(pick(xs, i), pick(ys, i), threshold) >= threshold - 1e-9 for i in range(batch.num_rows)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], schema=schema)
 
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -209,23 +213,6 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
     return buckets.join(centres, "bucket").where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
-def short_hashes(texts: DataFrame) -> DataFrame:
-    """(node, kinds): the distinct 16-bit hashes of each text's k-mers, as little-endian bytes."""
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for s in B.slices(b.column(1)):
-                h, row = shingles(s, KMER)
-                pairs = np.unique((row.astype(np.int64) << 16) | (h >> B.U64(48)).astype(np.int64))
-                at = np.searchsorted(pairs, np.arange(s.rows + 1) << 16)
-                low = (pairs & 0xFFFF).astype("<u2")
-                out += [low[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["node", "kinds"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, kinds binary")
-
-
 def rest_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, texts_of, threshold: float) -> DataFrame:
     """Likely pairs (a, b) of different components in one bucket, found in blocks, each once."""
     rows = buckets.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
@@ -239,7 +226,7 @@ def rest_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, texts_of
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.where("label <> major").select("bucket", "node", "label", (place % F.col("lefts")).cast("int").alias("l"), each("rights").alias("r"), F.lit(True).alias("left"))
     right = rows.select("bucket", "node", "label", each("lefts").alias("l"), (place % F.col("rights")).cast("int").alias("r"), F.lit(False).alias("left"))
-    kinds = store(short_hashes(texts_of(rows.select("node").distinct())), "kinds")
+    kinds = store(kmers(texts_of(rows.select("node").distinct()), short=True), "kinds").select("node", F.col("kmers").alias("kinds"))
     both = left.unionByName(right).join(nodes.select("node", "n_kinds", "sketch").join(kinds, "node"), "node").join(rows.select("bucket", "node", F.col("major").alias("m")), ["bucket", "node"])
 
     def run(table: pa.Table) -> pa.Table:
@@ -278,12 +265,17 @@ def rest_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, texts_of
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """(key, id, node, class_node, class_id, class_size) for every row.
 
-    class_id is the least id of the row's class.  Texts with the same words, null and empty ones
-    among themselves too, are one class; texts under KMER words link to no other.  Rows with null
-    ids take part, and a class of nothing else has a null class_id.  An empty table gives no rows.
+    class_id is the least id of the row's class.  Texts with the same words (by 128 bits of two
+    independent hashes), null and empty ones among themselves too, are one class; texts under KMER
+    words link to no other.  Rows with null ids take part, and a class of nothing else has a null
+    class_id.  Repeated rows are one node.  Texts of any length are sketched and aligned whole.  Only
+    id_col and text_col are read, so other columns cannot clash.  An empty table gives no rows.
     """
     rows = store(sketched(df, id_col, text_col), "sketches")
-    nodes = store(rows.groupBy("node").agg(F.min("key").alias("key"), F.first("n_kinds").alias("n_kinds"), F.first("sketch").alias("sketch"), F.first("print").alias("print")), "nodes")
+    nodes = rows.groupBy("n1", "n2").agg(
+        F.min("key").alias("key"), F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_kinds").alias("n_kinds"), F.first("sketch").alias("sketch"), F.first("print").alias("print")
+    )
+    nodes = store(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     placed = nodes.where("n_kinds > 0").select("node", F.explode("sketch").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = store(placed.join(sizes, "bucket"), "buckets")
@@ -294,7 +286,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return source.join(wanted.join(nodes.select("node", "key"), "node"), "key").dropDuplicates(["node"]).select("node", "text")
 
     def links(pairs: DataFrame) -> DataFrame:
-        texts = store(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "texts")
+        texts = store(kmers(texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())), "kmers")
         return store(verify(texts, pairs, threshold), "links")
 
     found = links(first)
@@ -305,9 +297,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         more = links(rest)
         if not more.isEmpty():
             labels = components(found.union(more))
-    out = rows.select("key", "id", "node").join(labels, "node", "left").select("key", "id", "node", F.coalesce("label", "node").alias("class_node"))
-    classes = out.groupBy("class_node").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return out.join(classes, "class_node").select("key", "id", "node", "class_node", "class_id", "class_size")
+    out = nodes.select("n1", "n2", "node", "id", "copies").join(labels, "node", "left").withColumn("class_node", F.coalesce("label", "node"))
+    classes = out.groupBy("class_node").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"))
+    classed = out.join(classes, "class_node").select("n1", "n2", "node", "class_node", "class_id", "class_size")
+    return rows.select("key", "id", "n1", "n2").join(classed, ["n1", "n2"]).select("key", "id", "node", "class_node", "class_id", "class_size")
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:

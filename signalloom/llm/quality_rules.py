@@ -33,6 +33,7 @@ REJECTED, MARGIN = 0.0001, 1.5
 CUTOFF = MARGIN * chi2_quantile(1 - REJECTED, P)
 FLOOR = np.array([0.03, 0.03, 0.03, 0.04, 0.06, 0.05, 0.10, 0.05])
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
+BROADCAST_GROUPS, SALTS = 20_000, 64
 PARAMS = "grp string, n long, mean array<double>, cov array<double>, root array<double>"
 
 
@@ -53,7 +54,7 @@ def measured(df: DataFrame, id_col: str, text_col: str, group_cols: tuple[str, .
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(s.rows + 1, dtype=np.int32) * P), pa.array(v.ravel()))
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(s.first, s.rows) for i in range(3)), *(pa.array(n[c]) for c in COUNTS), lists], names=["key", "id", "grp", *COUNTS, "v"])
 
-    return rows.mapInArrow(run, "key long, id long, grp string, " + ", ".join(f"{c} long" for c in COUNTS) + ", v array<double>")
+    return rows.mapInArrow(run, "key binary, id long, grp string, " + ", ".join(f"{c} long" for c in COUNTS) + ", v array<double>")
 
 
 def _params(floor: np.ndarray, scale: float):
@@ -102,9 +103,17 @@ def drawn(params: DataFrame, levels: int, floor: np.ndarray = FLOOR, pull: float
     return up
 
 
+def beside(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """rows with their group's columns of the stored table params, without dealing rows by group alone."""
+    if params.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(params), "grp")
+    salted = params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.hash("v"), F.lit(SALTS))).join(salted, ["grp", "salt"]).drop("salt")
+
+
 def distances(rows: DataFrame, params: DataFrame, *keep: str) -> DataFrame:
-    """Squared Mahalanobis distance of each row of (.., grp, v) under its group's parameters."""
-    both = rows.join(params.select("grp", "mean", "root"), "grp").select(*keep, "grp", "v", "mean", "root")
+    """Squared Mahalanobis distance of each row of (.., grp, v) under its group's parameters (grp, mean, root, ..)."""
+    both = beside(rows, params).select(*keep, "grp", "v", "mean", "root")
     x = [F.col("v")[i] - F.col("mean")[i] for i in range(P)]
     terms = []
     for i in range(P):
@@ -121,16 +130,17 @@ def mcd(rows: DataFrame, floor: np.ndarray = FLOOR, covered: float = COVERED, st
     root = F.array(*[1 / spread[i] if i == j else F.lit(0.0) for i in range(P) for j in range(P)])
     params = store(middle.select("grp", "n", mean.alias("mean"), root.alias("root")), "mcd")
     sizes = params.select("grp", F.col("n").alias("size"))
+    bins = F.floor(F.log(F.col("d2") + 1e-9) * 50).cast("int")
     grow = covered / chi2_cdf(chi2_quantile(covered, P), P + 2)
     for step in range(steps + 1):
-        d = distances(rows, params)
         if step < steps:
-            binned = d.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-9) * 50).cast("int"))
-            counts = binned.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("c"))
+            counts = distances(rows, params.select("grp", "mean", "root")).groupBy("grp", bins.alias("bin")).agg(F.count(F.lit(1)).alias("c"))
             run = counts.withColumn("below", F.sum("c").over(Window.partitionBy("grp").orderBy("bin")) - F.col("c")).join(sizes, "grp")
             limits = run.where(F.col("below") < covered * F.col("size")).groupBy("grp").agg(F.max("bin").alias("limit"))
-            near, scale = binned.join(limits, "grp").where("bin <= limit"), grow
+            limited = store(params.select("grp", "mean", "root").join(limits, "grp"), "limits")
+            near, scale = distances(rows, limited, "limit").where(bins <= F.col("limit")), grow
         else:
+            d = distances(rows, params.select("grp", "mean", "root"))
             near, scale = d.where(F.col("d2") <= chi2_quantile(0.975, P)), 0.975 / chi2_cdf(chi2_quantile(0.975, P), P + 2)
         found = gather(near, "grp", "v", P).mapInPandas(_params(floor, scale), PARAMS)
         params = store(found, "mcd")
@@ -142,13 +152,14 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_c
 
     Null texts count as empty; texts under ``MIN_WORDS`` words or with over ``MAX_REPEAT_PERCENT``
     percent of words in repeated windows fail the base rules.  A null group value is a value of its
-    own.  Rows equal in id, text and group have one key and one verdict.  Empty table: no rows.
+    own.  Rows equal in id, text and group have one key and one verdict.  Texts of any length are
+    measured whole.  Only the columns named are read, so others cannot clash.  Empty table: no rows.
     """
     rows = store(measured(df, id_col, text_col, group_cols), "stats")
     levels = len(group_cols)
     fit = rows.select(F.explode(F.array(*[prefix("grp", F.lit(k)) for k in range(levels)], F.col("grp"))).alias("grp"), "v")
     params = store(drawn(mcd(fit), levels), "drawn")
-    judged = distances(rows, params, "key", "id", *COUNTS)
+    judged = distances(rows, params.select("grp", "mean", "root"), "key", "id", *COUNTS)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return judged.select("key", "id", *COUNTS, failed.alias("base_failed"), F.col("d2").alias("distance"), (~failed & (F.col("d2") <= cutoff)).alias("kept"))
 

@@ -47,7 +47,7 @@ def text_stats(s: B.Slice) -> dict[str, np.ndarray]:
     lines = B.spans(s, d == 10)
     solid = np.zeros(len(d) + 1, np.int64)
     np.cumsum(~gap, out=solid[1:])
-    lh = B.span_hashes(B.BYTE_CODE[d], lines.starts, lines.ends)
+    lh = B.byte_hashes(d, lines.starts, lines.ends)
     real = solid[lines.ends] > solid[lines.starts]
     line_row = lines.row[real]
     kinds = np.unique(_keyed(lh[real], line_row), return_index=True)[1]

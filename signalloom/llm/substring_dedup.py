@@ -113,11 +113,11 @@ class Finder:
     A block is a run of candidate windows with one minimiser; equal blocks have equal windows.
     """
 
-    def __init__(self, window: int, part: int, gram: int, log_cells: int, maps):
-        self.window, self.part, self.gram, self.log_cells, self.maps = window, part, gram, log_cells, maps
+    def __init__(self, window: int, part: int, gram: int, maps):
+        self.window, self.part, self.gram, self.maps = window, part, gram, maps
 
     def hit(self, hashes: np.ndarray, row: int, bits: np.ndarray) -> np.ndarray:
-        cell = cells(hashes, row, self.log_cells)
+        cell = cells(hashes, row, (len(bits) << 3).bit_length() - 1)
         return (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
 
     def blocks(self, s: B.Slice):
@@ -137,17 +137,22 @@ class Finder:
         cut = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(least, prepend=-1) != 0))
         return w, h, at[cut], np.diff(np.append(cut, len(at))), grams[least[cut]]
 
-    def contexts(self, h: np.ndarray, starts: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    def contexts(self, both: list[np.ndarray], starts: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
         ends = starts + n + self.window - 1
-        return [B.span_hashes(h if k == 0 else B.mix(h ^ B.U64(m)), starts, ends, m) for k, m in enumerate(B.MULTIPLIERS)]
+        return [B.span_hashes(h, starts, ends, seed) for seed, h in enumerate(both)]
 
-    def windows(self, h: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    def windows(self, both: list[np.ndarray], starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Starts of the blocks' windows and their two hashes."""
-        at = np.repeat(starts - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else starts
-        return at, [B.gram_hashes(h, self.window, m)[at] if len(at) else np.zeros(0, B.U64) for m in B.MULTIPLIERS]
+        at, _, _ = B.places(starts, starts + n)
+        return at, [B.gram_hashes(h, self.window, seed)[at] if len(at) else np.zeros(0, B.U64) for seed, h in enumerate(both)]
 
 
-BLOCKS = "row long, first int, n int, c1 long, c2 long, gram long"
+def both_hashes(s: B.Slice, w: B.Words, h: np.ndarray) -> list[np.ndarray]:
+    """Two independent hashes of every word: what is grouped by them has 128 bits."""
+    return [h, B.word_hashes(s, w, seed=1)]
+
+
+BLOCKS = "row binary, first int, n int, c1 long, c2 long, gram long"
 
 
 def find_blocks(f: Finder):
@@ -155,14 +160,13 @@ def find_blocks(f: Finder):
 
     def run(batches):
         for b in batches:
-            keys = b.column(1).to_numpy(zero_copy_only=False)
             for s in B.slices(b.column(0)):
                 w, h, starts, n, grams = f.blocks(s)
                 if len(starts):
                     row = w.row[starts]
-                    c1, c2 = (c.view(np.int64) for c in f.contexts(h, starts, n))
-                    columns = (keys[s.first + row], (starts - w.at[row]).astype(np.int32), n.astype(np.int32), c1, c2, grams.view(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+                    c1, c2 = (c.view(np.int64) for c in f.contexts(both_hashes(s, w, h), starts, n))
+                    columns = (b.column(1).take(pa.array(s.first + row)), (starts - w.at[row]).astype(np.int32), n.astype(np.int32), c1, c2, grams.view(np.int64))
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
     return run
 
@@ -188,24 +192,23 @@ def open_windows(f: Finder, opened, marked: bool):
     def run(batches):
         contexts, grams_open = opened.value
         for b in batches:
-            keys = b.column(1).to_numpy(zero_copy_only=False)
             for s in B.slices(b.column(0)):
                 w, h, starts, n, grams = f.blocks(s)
                 ok = f.hit(grams, 1, grams_open)
                 if marked and len(starts):
-                    ok &= f.hit(f.contexts(h, starts, n)[0], 0, contexts)
-                at, (h1, h2) = f.windows(h, starts[ok], n[ok])
-                if not len(at):
+                    ok &= f.hit(f.contexts([h], starts, n)[0], 0, contexts)
+                if not ok.any():
                     continue
+                at, (h1, h2) = f.windows(both_hashes(s, w, h), starts[ok], n[ok])
                 if marked:
                     row = w.row[at]
-                    columns = {"row": keys[s.first + row], "pos": (at - w.at[row]).astype(np.int32), "h1": h1.view(np.int64), "h2": h2.view(np.int64)}
+                    columns = {"row": b.column(1).take(pa.array(s.first + row)), "pos": (at - w.at[row]).astype(np.int32), "h1": h1.view(np.int64), "h2": h2.view(np.int64)}
                 else:
                     both = np.empty(len(at), [("a", B.U64), ("b", B.U64)])
                     both["a"], both["b"] = h1, h2
                     kinds, count = np.unique(both, return_counts=True)
                     columns = {"h1": kinds["a"].copy().view(np.int64), "h2": kinds["b"].copy().view(np.int64), "n": count}
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
     return run
 
@@ -233,17 +236,19 @@ def repeated_windows(df: DataFrame, id_col: str, text_col: str, window: int = WI
     spark = df.sparkSession
     texts = df.select(F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    log_cells = min(MAX_LOG_CELLS, max(MIN_LOG_CELLS, math.ceil(math.log2(size / 6 + 1))))
+    log_cells = min(MAX_LOG_CELLS, max(MIN_LOG_CELLS, math.ceil(math.log2(size / 12 + 1))))
     maps = gathered(texts.select("text").mapInArrow(sketch(part, gram, log_cells), "shard int, entries binary"), log_cells)
-    f = Finder(window, part, gram, log_cells, spark.sparkContext.broadcast(maps))
+    f = Finder(window, part, gram, spark.sparkContext.broadcast(maps))
     blocks = texts.mapInArrow(find_blocks(f), BLOCKS)
     contexts = store(blocks.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("times"), F.min("gram").alias("gram")), "contexts")
-    single = contexts.where("times = 1").select("c1", "gram", F.lit(log_cells).alias("log_cells"))
-    opened = spark.sparkContext.broadcast(gathered(single.mapInArrow(open_bits, "shard int, entries binary"), log_cells))
+    alone = contexts.where("times = 1")
+    log_open = min(MAX_LOG_CELLS, max(MIN_LOG_CELLS, math.ceil(math.log2(16 * alone.count() + 1))))
+    single = alone.select("c1", "gram", F.lit(log_open).alias("log_cells"))
+    opened = spark.sparkContext.broadcast(gathered(single.mapInArrow(open_bits, "shard int, entries binary"), log_open))
     whole = blocks.select("row", "first", "n", "c1", "c2").join(contexts.where("times > 1").select("c1", "c2"), ["c1", "c2"], "left_semi").select("row", "first", "n")
     counted = texts.mapInArrow(open_windows(f, opened, False), "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("times")).where("times > 1").select("h1", "h2")
-    singly = texts.mapInArrow(open_windows(f, opened, True), "row long, pos int, h1 long, h2 long").join(counted, ["h1", "h2"], "left_semi").select("row", F.col("pos").alias("first"), F.lit(1).alias("n"))
-    return whole.union(singly).groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("marks"))
+    singly = texts.mapInArrow(open_windows(f, opened, True), "row binary, pos int, h1 long, h2 long").join(counted, ["h1", "h2"], "left_semi").select("row", F.col("pos").alias("first"), F.lit(1).alias("n"))
+    return whole.union(singly).groupBy("row").agg(F.collect_set(F.struct("first", "n")).alias("marks"))
 
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -253,7 +258,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     as a struct, so no column of it can clash; ``spans`` are the removed [first, end) word ranges.
     A null or empty text, and one shorter than a window, loses nothing (kept_text is its words
     joined by one space).  Rows with equal id and text count as separate places: each loses what
-    the other repeats.  An empty table gives an empty result.
+    the other repeats; their marks are the same and are kept once, so n equal rows cost n times one.
+    A text is worked on whole, whatever its length.  An empty table gives an empty result.
     """
     marks = repeated_windows(small_batches(df), id_col, text_col, window)
     rows = df.select(F.struct("*").alias("original"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+
+import numpy as np
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -101,3 +103,68 @@ def targets(sizes, weights=(1, 2, 3), most=3):
         if not over:
             return fixed | share
         fixed |= {s: most * sizes[s] for s in over}
+
+
+def links(rows, k=5, threshold=0.8):
+    """All pairs of different texts whose k-word sets have that likeness, through an index of the sequences."""
+    sets, index, same = {}, {}, {}
+    out = set()
+    for i, t in rows:
+        w = tuple(WORD.findall(t or ""))
+        if w in same:
+            out.add((same[w], i))
+            continue
+        same[w] = i
+        if len(w) >= k:
+            sets[i] = {w[j : j + k] for j in range(len(w) - k + 1)}
+    shared = Counter()
+    for i, grams in sets.items():
+        for g in grams:
+            others = index.setdefault(g, [])
+            shared.update((j, i) for j in others)
+            others.append(i)
+    for (a, b), n in shared.items():
+        if n >= threshold * (len(sets[a]) + len(sets[b]) - n):
+            out.add((a, b))
+    return out
+
+
+def robust_distances(rows, vector, floor, covered, steps, pull, quantile, cdf):
+    """{row number: squared distance} by concentration steps per (lang, source), per language and over all; rows are (lang, source, ..)."""
+    p = len(floor)
+    members = defaultdict(list)
+    for k, r in enumerate(rows):
+        for g in ((), (r[0],), (r[0], r[1])):
+            members[g].append(k)
+
+    def spread(mean, cov, v):
+        x = v - mean
+        return np.einsum("ij,jk,ik->i", x, np.linalg.inv(cov + np.diag(floor**2)), x)
+
+    found = {}
+    for g, own in members.items():
+        v = vector[own]
+        n = len(v)
+        at = lambda q: np.sort(v, axis=0)[max(int(np.ceil(q * n)), 1) - 1]
+        mean, cov = at(0.5), np.diag(((at(0.75) - at(0.25)) / 1.349) ** 2)
+        for step in range(steps + 1):
+            d = spread(mean, cov, v)
+            if step < steps:
+                bins = np.floor(np.log(d + 1e-9) * 50)
+                limit = max(b for b in set(bins) if (bins < b).sum() < covered * n)
+                near, scale = bins <= limit, covered / cdf(quantile(covered, p), p + 2)
+            else:
+                near, scale = d <= quantile(0.975, p), 0.975 / cdf(quantile(0.975, p), p + 2)
+            if near.any():
+                mean, cov, count = v[near].mean(0), np.cov(v[near].T, bias=True) * scale, near.sum()
+        found[g] = (count, mean, cov)
+
+    def drawn(g):
+        n, mean, cov = found[g]
+        if not g:
+            return mean, cov
+        up_mean, up_cov = drawn(g[:-1])
+        own, gap = n / (n + pull), mean - up_mean
+        return up_mean + own * gap, own * cov + (1 - own) * up_cov + own * (1 - own) * np.outer(gap, gap)
+
+    return {k: float(spread(*drawn((r[0], r[1])), vector[k : k + 1])[0]) for k, r in enumerate(rows)}

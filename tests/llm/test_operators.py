@@ -5,11 +5,14 @@ import random
 from collections import Counter
 
 import brute
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from signalloom.llm import bpe, common, fingerprints, licenses, lm, mixing, near_dedup, quality_classifier, quality_rules, substring_dedup, token_counts
+from signalloom.llm import batch as B
+from signalloom.llm import bpe, common, fingerprints, licenses, lm, mixing, near_dedup, quality_classifier, quality_rules, stats, substring_dedup, token_counts
 
 DIR = "/root/testdata/sf0.001"
 PASSAGE = " ".join(f"word{i}" for i in range(60))
@@ -78,13 +81,27 @@ def test_bpe(docs, odd, none):
 def test_bpe_reuses_chunks():
     c = bpe.Codec(public_tokenizers.path("word_bpe_49k.json"))
     text = " ".join(f"w{i}x{i * i % 97}" for i in range(4000))
-    from signalloom.llm import batch as B
-    import pyarrow as pa
-
     for s in B.slices(pa.array([f"abc {text}", f"something else first {text}"])):
-        out = bpe.encode_slice(c, s)
+        ids, at, _ = bpe.encode_slice(c, s)
     assert c.reused_chunks > 5
-    assert len(out[1][0]) // 4 == len(c.tokenizer.encode(f"something else first {text}", add_special_tokens=False).ids)
+    assert at[2] - at[1] == len(c.tokenizer.encode(f"something else first {text}", add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_joins(name):
+    """Joins in words, runs of white space, marks and unbroken text, for a tokenizer that drops white space and one that keeps it."""
+    r = random.Random(2)
+    parts = ["ab", "  ", "\n", "é", "don't", "12", "<|endoftext|>", "\x01", " ", "!?", "İ", "\u0301"]
+    texts = ["".join(r.choice([*parts, "z" * r.randint(1, 900), f" w{r.randint(0, 9)} "]) for _ in range(r.randint(1, 400))) for _ in range(40)]
+    texts += ["z" * 30_000, " " * 30_000, "", "\x01 \x01 a", "word " * 5_000]
+    c = bpe.Codec(public_tokenizers.path(name))
+    assert c.by_words == (name == "word_bpe_49k.json")
+    for s in B.slices(pa.array(texts), bpe.SLICE_BYTES):
+        ids, at, decoded = bpe.encode_slice(c, s)
+        for i in range(s.rows):
+            want = c.tokenizer.encode(texts[s.first + i], add_special_tokens=False).ids
+            assert ids[at[i] : at[i + 1]].tolist() == want
+            assert decoded[i].decode() == c.tokenizer.decode(want, skip_special_tokens=False)
 
 
 def test_quality_classifier(spark, docs, odd, none):
@@ -116,11 +133,115 @@ def test_near_duplicates(spark, docs, odd, none):
 
 
 def test_alignment():
-    a = [str(i) for i in range(100)]
-    b = a[:50] + ["x"] + a[51:]
-    assert near_dedup.aligned_runs(a, b, 4) == [(0, 50), (51, 49)]
-    assert near_dedup.alignment_similarity(a, b) == pytest.approx(brute.jaccard(" ".join(a), " ".join(b)))
-    assert near_dedup.alignment_similarity(a, a[::-1]) == 0.0
+    r = random.Random(3)
+    a = np.array(r.sample(range(10**6), 300), np.uint64)
+    assert near_dedup.alignment_similarity(a, a) == 1.0 and near_dedup.alignment_similarity(a, a[:0]) == 0.0
+    assert near_dedup.alignment_similarity(a, np.concatenate((a[:270], a[:0]))) == pytest.approx(0.9)
+    moved = np.concatenate((a[5:], a[:5]))
+    assert near_dedup.alignment_similarity(a, moved) == pytest.approx(295 / 305)
+    assert near_dedup.alignment_similarity(a, a[::-1].copy()) == 0.0
+    for _ in range(50):
+        x = r.sample(range(40), 40)
+        best = [1] * 40
+        for i in range(40):
+            best[i] = 1 + max((best[j] for j in range(i) if x[j] < x[i]), default=0)
+        assert near_dedup.increasing(np.array(x)) == max(best)
+
+
+def test_links_of_a_whole_table(spark):
+    """Every pair of 5-word sets at 0.8 or more, found through an index of all sequences, is in one class, and no class has an unlinked part."""
+    rows = texts(common.documents(spark, "/root/testdata/sf0.01").select("doc_id", "text"))
+    found = {r["id"]: r["class_id"] for r in near_dedup.near_duplicates(common.documents(spark, "/root/testdata/sf0.01")).collect()}
+    links = brute.links(rows)
+    assert len(links) > 50 and all(found[a] == found[b] for a, b in links)
+    top = {i: i for i, _ in rows}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        top[y] = x
+    assert found == {i: find(i) for i in top}
+
+
+def thue_morse(n, flip=False):
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    one, two = thue_morse(2048), thue_morse(2048, True)
+    tail = " ".join(f"t{i}" for i in range(34))
+    rows = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{two} {tail}")], "doc_id long, text string")
+    assert {r[2] for r in substrings(rows)} == {0}
+    words = [" ".join("xy"[c == "a"] for c in t) for t in (one, two)]
+    rows = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert {r[0]: r[1:] for r in substrings(rows)} == brute.substring_dedup(list(enumerate(words)))
+    short = spark.createDataFrame([(1, f"alpha {one}"), (2, f"alpha {two}")], "doc_id long, text string")
+    assert len({r["class_id"] for r in near_dedup.near_duplicates(short).collect()}) == 2
+    prints = [r["fingerprint"] for r in fingerprints.edit_likeness(short).collect()]
+    assert prints[0] != prints[1]
+    assert {r["n_known"] for r in lm.score_texts(short.union(spark.createDataFrame([(i, "alpha beta") for i in range(10, 30)], "doc_id long, text string"))).where("id < 3").collect()} <= {2, 3}
+    h = B.word_hashes(*(lambda s: (s, B.words(s)))(next(B.slices(pa.array([f"{one} {two} {one}"])))))
+    assert h[0] == h[2] != h[1]
+
+
+LONG = ["  " * 500_000 + "x", "z" * 1_000_000, "word " * 200_000, " ".join(f"w{i % 5000}" for i in range(150_000)), None, "", "one two"]
+
+
+@pytest.fixture(scope="module")
+def long_rows(spark):
+    rows = [(i, t, "en", "ab"[i % 2]) for i, t in enumerate(LONG)]
+    return spark.createDataFrame(rows + rows[-1:] * 3, COLUMNS)
+
+
+def test_long_texts(spark, long_rows):
+    plain = {i: t for i, t in enumerate(LONG)}
+    rows = texts(long_rows)
+    counts = brute.substring_dedup(list(enumerate(t for _, t in rows)))
+    assert substrings(long_rows) == sorted(((i, *counts[k]) for k, (i, _) in enumerate(rows)), key=str)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = bpe.encode_digests(long_rows.select("doc_id", "text")).select("original.doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == brute.bpe(plain.items(), path) and len(got) == len(rows)
+    e = token_counts.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    lengths = {r["length"]: r["n_docs"] for r in token_counts.token_counts(long_rows).collect()}
+    assert sum(lengths.values()) == len(rows) and lengths[1_000_000] == 1 and lengths[0] == 2 and lengths[len(e.encode_ordinary("one two"))] == 4
+    assert len(quality_rules.judge(long_rows).collect()) == len(rows)
+    classes = {r["id"]: r["class_id"] for r in near_dedup.near_duplicates(long_rows).collect()}
+    assert classes == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 4, 6: 6}
+    assert len(fingerprints.edit_likeness(long_rows).collect()) == len(rows) and len(licenses.scan_licenses(long_rows).collect()) == len(rows)
+    assert len(lm.score_texts(long_rows).collect()) == len(rows) and len(mixing.mix(long_rows).collect()) == len(rows)
+    labels = spark.createDataFrame([(3, 1), (1, 0)], "doc_id long, quality int")
+    assert len(quality_classifier.classify(long_rows, labels).collect()) == len(rows)
+
+
+def test_repetitive_texts_align_quickly():
+    at = [" ".join(["ab cd"] * n) for n in (40_000, 24_000)]
+    for s in B.slices(pa.array(at)):
+        h, row = fingerprints.shingles(s, 5)
+    assert len(set(h.tolist())) == 2
+
+
+def test_equal_rows_share_their_marks(spark):
+    rows = spark.createDataFrame([(7, PASSAGE + " " + PASSAGE)] * 50, "doc_id long, text string")
+    marks = substring_dedup.repeated_windows(rows, "doc_id", "text").collect()
+    assert len(marks) == 1 and len(marks[0]["marks"]) <= 120
+    assert {r[1:3] for r in substrings(rows)} == {(120, 120)}
+
+
+def test_length_pieces_match_the_library(monkeypatch):
+    import re
+
+    e = token_counts.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    monkeypatch.setattr(token_counts, "PIECE", 5)
+    monkeypatch.setattr(token_counts, "LONG_GAP", 8)
+    monkeypatch.setattr(token_counts, "_long_gap", re.compile("[%s]{8,}" % token_counts.WHITE))
+    r = random.Random(4)
+    for _ in range(1500):
+        t = "".join(r.choice(["a", " ", "\n", "\t ", "é", "1", "!", "'s", "word", " " * r.randint(1, 20), "\u3000", "\xa0", "\x1c", "\x85", "\u200b"]) for _ in range(r.randint(1, 40)))
+        assert token_counts.encoded_length(e, t) == len(e.encode_ordinary(t))
 
 
 def test_licenses(docs, odd, none):
@@ -221,6 +342,29 @@ def prose(r, loud=0.0, stops=0.12, n=150):
     return " ".join("".join(r.choices("abcdefghinorstu", k=r.randint(2, 9))) + "".join(c for c, share in ends if r.random() < share) for _ in range(n)).capitalize()
 
 
+def test_quality_distances(spark, docs, monkeypatch):
+    """Distances and verdicts against a plain version of the same steps, broadcast and salted."""
+    rows = docs.select("doc_id", "text", "lang", "source").collect()
+    measured = [stats.vectors(stats.text_stats(s)) for s in B.slices(pa.array([r["text"] for r in rows]))]
+    q = quality_rules
+    want = brute.robust_distances([(r["lang"], r["source"]) for r in rows], np.concatenate(measured), q.FLOOR, q.COVERED, q.STEPS, q.PULL, q.chi2_quantile, q.chi2_cdf)
+    for groups in (q.BROADCAST_GROUPS, 0):
+        monkeypatch.setattr(q, "BROADCAST_GROUPS", groups)
+        got = {r["id"]: r for r in q.judge(docs).collect()}
+        for k, r in enumerate(rows):
+            assert got[r["doc_id"]]["distance"] == pytest.approx(want[k], rel=1e-6)
+            assert got[r["doc_id"]]["kept"] == (not got[r["doc_id"]]["base_failed"] and want[k] <= q.CUTOFF)
+
+
+def test_fingerprints_of_equal_ids(spark):
+    rows = [(5, f"text number {i}") for i in range(60)] + [(None, f"none {i}") for i in range(40)] + [(i, f"own {i}") for i in range(6, 20)]
+    got = fingerprints.edit_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r["id"] for r in got) == Counter(r[0] for r in rows)
+    edits = {r["edited_sha256"] for r in got}
+    followers = [t for _, t in rows]
+    assert all(any(brute.sha(t[: len(t) - len(t) // 2] + f[: len(t) // 2]) in edits for f in followers) for _, t in rows)
+
+
 def test_quality_cutoff(spark):
     r = random.Random(7)
     rows = [(i, prose(r), "en", "a") for i in range(500)]
