@@ -18,8 +18,7 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
-SEEDS = 2
-TABLE_WIDTH = 32
+SEED_STEP = np.array([0xD1342543DE82EF95, 0x2545F4914F6CDD1D], U64)
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -38,8 +37,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_CODE = mix(np.arange(1, 257, dtype=U64) * GOLDEN)
-#: PLACED[seed][place * 256 + byte]: what a byte adds to its span's hash, by its place in the span.
-PLACED = [mix(np.tile(mix(BYTE_CODE + U64(seed)), TABLE_WIDTH) + np.repeat(np.arange(TABLE_WIDTH, dtype=U64), 256) * GOLDEN) for seed in range(SEEDS)]
+#: FIRST[n] keeps the n first bytes of a little-endian number.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def places(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,30 +50,30 @@ def places(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return whole + np.repeat(starts - at[:-1], size), whole - np.repeat(at[:-1], size), at
 
 
-def _summed(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _summed(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(values) + 1, U64)
     np.cumsum(values, out=sums[1:])
-    return mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(np.diff(at).astype(U64) * GOLDEN))
+    return mix((sums[at[1:]] - sums[at[:-1]]) ^ mix(size.astype(U64) * GOLDEN))
 
 
 def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Hashes of the byte spans: sums of scrambled (byte, place) pairs, so that no structure of a text cancels out.
+    """Hashes of the byte spans: sums of scrambled (eight bytes, place) pairs, so that no structure of a text cancels out.
 
     Two seeds give independent hashes.
     """
-    index, place, at = places(starts, ends)
-    byte = data[index].astype(np.int64)
-    values = PLACED[seed][(np.minimum(place, TABLE_WIDTH - 1) << 8) | byte]
-    far = np.flatnonzero(place >= TABLE_WIDTH)
-    if len(far):
-        values[far] = mix(values[far] + place[far].astype(U64) * GOLDEN)
-    return _summed(values, at)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    _, place, at = places(np.zeros(len(starts), np.int64), (ends - starts + 7) >> 3)
+    count = np.diff(at)
+    begin = np.repeat(starts, count) + (place << 3)
+    block = eight[begin] & FIRST[np.minimum(np.repeat(ends, count) - begin, 8)]
+    return _summed(mix(mix(block + SEED_STEP[seed]) + place.astype(U64) * GOLDEN), at, ends - starts)
 
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """Hashes of codes[start:end] of 64-bit codes, built in the same way."""
     index, place, at = places(starts, ends)
-    return _summed(mix(mix(codes[index] + U64(seed)) + place.astype(U64) * GOLDEN), at)
+    return _summed(mix(mix(codes[index] + SEED_STEP[seed]) + place.astype(U64) * GOLDEN), at, ends - starts)
 
 
 @dataclass
@@ -161,7 +160,7 @@ def gram_hashes(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     m = len(h) - k + 1
     if m <= 0:
         return np.zeros(0, U64)
-    now, width, done, out = mix(h + U64(seed)), 1, 0, None
+    now, width, done, out = mix(h + SEED_STEP[seed]), 1, 0, None
     while True:
         if k & width:
             part = now[done : done + m]

@@ -15,7 +15,8 @@ context positions, then the word within the symbol:
   share of words seen once.
 
 Training takes every token of the training texts, in ``ROUNDS`` disjoint parts: in each, at most
-``LEARNERS`` tasks learn from their texts by noise-contrastive estimation, and their parameters are
+``LEARNERS`` tasks learn from their texts by noise-contrastive estimation (of the group against the mean
+over all noise groups, of the symbol against ``NOISE`` drawn ones of its group), and their parameters are
 averaged by events; a corpus of under ``EVENTS`` tokens is gone through several times, whole in each
 round.  Scoring
 normalises exactly, in batched products per group.  Word counts cover the whole training corpus and
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 from signalloom.llm import batch as B
 from signalloom.llm.common import documents, held_out, store
 
-FOLDS, SPREAD, HEAD = 10, 12, 65_536
-DIM, BATCH, NOISE, RATE, SEED = 24, 16_384, 64, 0.15, 5
-ROUNDS, LEARNERS, EVENTS, BLOCK = 3, 64, 3 << 20, 1 << 20
-WIDTH, CHUNK = 96, 1 << 15
+FOLDS, SPREAD, HEAD = 10, 12, 1 << 18
+DIM, BATCH, NOISE, RATE, SEED = 24, 16_384, 32, 0.08, 5
+ROUNDS, LEARNERS, EVENTS, BLOCK = 3, 1024, 1 << 20, 1 << 20
+WIDTH, CHUNK, BLOCK_ROWS = 96, 1 << 16, 1 << 11
 SMOOTHING = 0.1
 FLUSH = 1 << 22
 END = np.array([0x5DEECE66D], B.U64)
@@ -124,26 +125,28 @@ class Symbols:
         return before, np.where(anchor >= first, sym[np.maximum(anchor, 0)], 0)
 
 
-def _summed(at: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct places of at and the sums of v's rows at each."""
-    order = np.argsort(at, kind="stable")
-    kinds, first = np.unique(at[order], return_index=True)
-    return kinds, np.add.reduceat(v[order], first)
+def _order(at: np.ndarray, size: int) -> np.ndarray:
+    """A stable order by numbers under size."""
+    return np.argsort(at.astype(np.uint16) if size <= 1 << 16 else at, kind="stable")
 
 
-def _nce(x: np.ndarray, y: np.ndarray, q: np.ndarray, b: np.ndarray, share: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gradients for x, q and b of telling y from NOISE symbols drawn by share, which the rows have in common."""
-    reach = np.cumsum(share)
-    z = np.minimum(np.searchsorted(reach, rng.random(NOISE) * reach[-1]), len(share) - 1)
-    log_noise = np.log(NOISE * share / reach[-1] + 1e-30).astype(np.float32)
-    true = (x * q[y]).sum(1) + b[y] - log_noise[y]
-    false = x @ q[z].T + (b[z] - log_noise[z])
-    gt, gf = -1 / (1 + np.exp(np.clip(true, -30, 30))), 1 / (1 + np.exp(-np.clip(false, -30, 30)))
-    one = np.zeros((len(x), len(q)), np.float32)
-    one[np.arange(len(x)), y] = gt
-    drawn = np.zeros((NOISE, len(q)), np.float32)
-    drawn[np.arange(NOISE), z] = 1
-    return gt[:, None] * q[y] + gf @ q[z], one.T @ x + drawn.T @ (gf.T @ x), one.sum(0) + gf.sum(0) @ drawn
+def _runs(at: np.ndarray) -> np.ndarray:
+    """Where the runs of equal numbers begin in a sorted array."""
+    return np.flatnonzero(np.diff(at, prepend=-1))
+
+
+def _totals(v: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sums of v's rows between the places begin."""
+    return np.add.reduceat(np.ascontiguousarray(v.T), begin, axis=1).T
+
+
+def _logistic(scores: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-scores)), in place; 0 where exp has no number."""
+    np.negative(scores, out=scores)
+    with np.errstate(over="ignore"):
+        np.exp(scores, out=scores)
+    scores += 1
+    return np.reciprocal(scores, out=scores)
 
 
 class LogBilinear:
@@ -160,6 +163,10 @@ class LogBilinear:
         groups = int(self.group.max()) + 1
         self.share = np.zeros((groups, most))
         self.share[self.group, self.slot] = share / share.sum()
+        self.reach = np.cumsum(self.share.sum(1))
+        self.reach_inside = np.cumsum(self.share / self.share.sum(1, keepdims=True), axis=1)
+        self.log_noise = np.log(NOISE * self.share.sum(1)).astype(np.float32)
+        self.log_noise_inside = np.log(NOISE * self.share / self.share.sum(1, keepdims=True) + 1e-30).astype(np.float32)
         with np.errstate(divide="ignore"):
             inside = np.maximum(np.log(self.share / self.share.sum(1, keepdims=True)), -1e9)
         p = {
@@ -182,29 +189,73 @@ class LogBilinear:
         self.squares[k][at] += g * g
         self.p[k][at] -= rate * g / np.sqrt(self.squares[k][at])
 
-    def _by_group(self, y: np.ndarray):
-        g = self.group[y]
-        order = np.argsort(g, kind="stable")
-        bounds = np.searchsorted(g[order], np.arange(len(self.share) + 1))
-        return ((k, order[bounds[k] : bounds[k + 1]]) for k in np.flatnonzero(np.diff(bounds)))
-
     def step(self, before: np.ndarray, anchor: np.ndarray, y: np.ndarray, rng, rate: float = RATE) -> None:
-        """One step on these events: the true group and symbol against groups, and symbols of the group, drawn by frequency."""
-        p = self.p
-        r, s = p["r"][before], p["s"][anchor]
+        """One step on these events: the true group and symbol against groups, and symbols of the group, drawn by frequency.
+
+        Events are sorted by symbol, so that those of a group, and of a symbol, stand together.
+        """
+        p, (groups, most) = self.p, self.share.shape
+        place = self.group * most + self.slot
+        order = _order(place[y], groups * most)
+        before, anchor, at = before[order], anchor[order], place[y[order]]
+        g = at // most
+        r, s = p["r"].take(before, 0), p["s"].take(anchor, 0)
         x = r @ p["c"][0] + s @ p["c"][1]
-        dx, du, dd = _nce(x, self.group[y], p["u"], p["d"], self.share.sum(1), rng)
-        for k, rows in self._by_group(y):
-            d, dq, db = _nce(x[rows], self.slot[y[rows]], p["q"][k], p["b"][k], self.share[k], rng)
-            dx[rows] += d
-            self._move("q", k, dq, rate)
-            self._move("b", k, db, rate)
-        places = _summed(before, dx @ p["c"][0].T), _summed(anchor, dx @ p["c"][1].T)
+        q, b = p["q"].reshape(groups * most, -1), p["b"].reshape(-1)
+        bounds = np.searchsorted(g, np.arange(groups + 1))
+        # The group against NOISE groups, whose mean over all draws is taken: there are few groups.
+        offset = p["d"] - self.log_noise
+        own = p["u"].take(g, 0)
+        gt = -_logistic(-(np.einsum("ij,ij->i", x, own) + offset.take(g)))
+        own *= gt[:, None]
+        dx, du, dd = own, np.zeros_like(p["u"]), np.zeros_like(p["d"])
+        some = _runs(g)
+        if len(some):
+            du[g[some]], dd[g[some]] = _totals(gt[:, None] * x, some), np.add.reduceat(gt, some)
+        drawn = np.exp(self.log_noise)
+        for i in range(0, len(x), BLOCK_ROWS):
+            rows = slice(i, i + BLOCK_ROWS)
+            gf = _logistic(x[rows] @ p["u"].T + offset)
+            gf *= drawn
+            dx[rows] += gf @ p["u"]
+            du += gf.T @ x[rows]
+            dd += gf.sum(0)
+        # The symbol against noise symbols of its group.
+        inner = b - self.log_noise_inside.reshape(-1)
+        own = q.take(at, 0)
+        gt = -_logistic(-(np.einsum("ij,ij->i", x, own) + inner.take(at)))
+        own *= gt[:, None]
+        dx += own
+        dq, db = np.zeros_like(q), np.zeros_like(b)
+        one = _runs(at)
+        if len(one):
+            dq[at[one]], db[at[one]] = _totals(gt[:, None] * x, one), np.add.reduceat(gt, one)
+        draws, noise = rng.random((groups, NOISE)), []
+        for k in np.flatnonzero(np.diff(bounds)):
+            i, j = bounds[k], bounds[k + 1]
+            z = k * most + np.minimum(np.searchsorted(self.reach_inside[k], draws[k]), most - 1)
+            qz = q.take(z, 0)
+            gf = _logistic(x[i:j] @ qz.T + inner[z])
+            dx[i:j] += gf @ qz
+            noise.append((z, gf.T @ x[i:j], gf.sum(0)))
+        if noise:
+            z, gq, gb = (np.concatenate(v) for v in zip(*noise, strict=True))
+            by = _order(z, groups * most)
+            kinds = _runs(z[by])
+            dq[z[by][kinds]] += _totals(gq.take(by, 0), kinds)
+            db[z[by][kinds]] += np.add.reduceat(gb.take(by), kinds)
         self._move("c", slice(None), np.stack((r.T @ dx, s.T @ dx)), rate)
+        places = []
+        for k, (where, size, c) in enumerate(((before, self.size, p["c"][0]), (anchor, self.wide, p["c"][1]))):
+            by = _order(where, size)
+            kinds = _runs(where[by])
+            places.append(("rs"[k], where[by][kinds], _totals(dx.take(by, 0), kinds) @ c.T))
         self._move("u", slice(None), du, rate)
         self._move("d", slice(None), dd, rate)
-        for k, (at, g) in zip("rs", places, strict=True):
-            self._move(k, at, g, rate)
+        self._move("q", slice(None), dq.reshape(p["q"].shape), rate)
+        self._move("b", slice(None), db.reshape(p["b"].shape), rate)
+        for k, where, grad in places:
+            self._move(k, where, grad, rate)
 
     def train(self, code: np.ndarray, n: np.ndarray, steps: int, seed: int = SEED) -> LogBilinear:
         """Steps on BATCH events each, drawn from counts n of (before * wide + anchor) * size + symbol."""
@@ -217,13 +268,19 @@ class LogBilinear:
     def log10(self, before: np.ndarray, anchor: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of the events."""
         out = np.empty(len(y))
+        groups, most = self.share.shape
+        place = self.group * most + self.slot
         for i in range(0, len(y), CHUNK):
-            a, c, t = (v[i : i + CHUNK] for v in (before, anchor, y))
-            x = self.p["r"][a] @ self.p["c"][0] + self.p["s"][c] @ self.p["c"][1]
-            part = _log_share(x @ self.p["u"].T + self.p["d"], self.group[t])
-            for k, rows in self._by_group(t):
-                part[rows] += _log_share(x[rows] @ self.p["q"][k].T + self.p["b"][k], self.slot[t[rows]])
-            out[i : i + CHUNK] = part
+            order = _order(place[y[i : i + CHUNK]], groups * most)
+            a, c, at = before[i : i + CHUNK][order], anchor[i : i + CHUNK][order], place[y[i : i + CHUNK][order]]
+            g = at // most
+            x = self.p["r"].take(a, 0) @ self.p["c"][0] + self.p["s"].take(c, 0) @ self.p["c"][1]
+            part = np.concatenate([_log_share(x[j : j + BLOCK_ROWS] @ self.p["u"].T + self.p["d"], g[j : j + BLOCK_ROWS]) for j in range(0, len(x), BLOCK_ROWS)])
+            bounds = np.searchsorted(g, np.arange(groups + 1))
+            for k in np.flatnonzero(np.diff(bounds)):
+                rows = slice(bounds[k], bounds[k + 1])
+                part[rows] += _log_share(x[rows] @ self.p["q"][k].T + self.p["b"][k], at[rows] - k * most)
+            out[i + order] = part
         return out / np.log(10)
 
     def log10_table(self) -> np.ndarray:
@@ -244,8 +301,13 @@ class LogBilinear:
 
 
 def _log_share(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
-    most = scores.max(1)
-    return scores[np.arange(len(y)), y] - most - np.log(np.exp(scores - most[:, None]).sum(1))
+    own = scores[np.arange(len(y)), y]
+    if scores.max(initial=0) > 60:
+        most = scores.max(1)
+        scores -= most[:, None]
+        own = own - most
+    np.exp(scores, out=scores)
+    return own - np.log(np.maximum(scores @ np.ones(scores.shape[1], scores.dtype), 1e-37))
 
 
 def learn(texts: DataFrame, symbols: Symbols, model: LogBilinear, passes: int) -> None:
@@ -337,7 +399,8 @@ def score_rows(rows: DataFrame, symbols: Symbols, model: LogBilinear, head_h: np
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
-    Null texts count as empty: one token, the end.  Rows with a null id are trained on.  Repeated
+    Texts are scored whole, whatever their length, and null texts count as empty: one token, the end.
+    Only id_col and text_col are read, so other columns cannot clash.  Rows with a null id are trained on.  Repeated
     rows count as often as they stand and get equal scores.  An empty table gives no rows; without
     training rows every word is unseen.
     """
