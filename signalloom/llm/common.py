@@ -13,6 +13,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 ARROW_LIMIT, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
+_stored: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -29,10 +32,18 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _stored:
+        atexit.register(free_tables)
+    _stored.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_tables() -> None:
+    """Remove all tables stored so far: for long sessions, once the results that read them are written."""
+    while _stored:
+        _remove(*_stored.pop())
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)

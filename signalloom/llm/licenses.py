@@ -1,7 +1,9 @@
 """License scans, DataFrame functions only.
 
 Base labels come from places where a phrase's words stand consecutively.  Further labels come
-from an exact set-similarity join of text blocks (lines) with license templates: every block
+from an exact set-similarity join of text blocks with license templates; a block is any ``LINES``
+neighbouring lines, so that notices wrapped over lines are found, and notices of more lines by the
+templates of their sentences: every block
 whose word set holds at least ``CONTAINMENT`` of a template's is found.  The templates' words
 are ordered by their frequency in the whole corpus, rarest first; a block can only reach the
 threshold for a template T of n words if it holds one of T's n - need + 1 rarest (prefix
@@ -32,10 +34,15 @@ TEMPLATES = [
     ("mit", "released under the mit license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("mpl", "subject to the terms of the mozilla public license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("all-rights-reserved", "all rights reserved"),
     ("public-domain", "dedicated to the public domain"),
 ]
-CONTAINMENT = 0.9
+CONTAINMENT, LINES = 0.9, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -87,7 +94,9 @@ def template_labels(rows: DataFrame, templates: list[tuple[str, str]], containme
     side = F.broadcast(spark.createDataFrame(prefixes, "rank int, label string, i int, need int, t array<int>"))
     ranks = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, rank[w])])
     look = f"(?i)(?<![^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])({'|'.join(sorted(rare))})(?![^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])"
-    blocks = rows.where(F.col("text").rlike(look)).select("key", F.explode(F.split("text", "\n")).alias("block")).where(F.col("block").rlike(look))
+    lines = rows.where(F.col("text").rlike(look)).select("key", F.split("text", "\n").alias("lines"))
+    near = F.transform("lines", lambda x, i: F.array_join(F.slice("lines", i + 1, LINES), "\n"))
+    blocks = lines.select("key", F.explode(near).alias("block")).where(F.col("block").rlike(look))
     known = F.array_sort(F.array_distinct(F.array_compact(F.transform(F.filter(word_list(F.col("block")), lambda w: w.isin(vocabulary)), lambda w: ranks[w]))))
     blocks = blocks.select("key", known.alias("b")).where(F.size("b") >= least)
     pairs = blocks.select("key", "b", F.posexplode("b").alias("j", "rank")).join(side, "rank")
@@ -102,7 +111,8 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row.
 
     Null texts count as empty: no words, no labels, score 0.  Only A-Z are lower-cased.  Rows equal
-    in id and text get equal results.  The score is 1 where a phrase stands, else the best
+    in id and text get equal results.  Texts are read whole, whatever their length; other columns
+    are not read.  The score is 1 where a phrase stands, else the best
     containment of a template that a block reaches, else 0.  An empty table gives no rows.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))

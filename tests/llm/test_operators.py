@@ -254,13 +254,24 @@ def test_licenses(docs, odd, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_wrapped_notices(spark):
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated\ndocumentation files (the Software)"
+    bsd = "# Redistributions of source code must retain the above copyright\n# notice, this list of conditions and the following disclaimer."
+    rows = spark.createDataFrame([(1, f"int main\n{mit}\nmore"), (2, bsd), (3, "the software is free\nof charge"), (4, None)], "doc_id long, text string")
+    got = {r["id"]: (r["labels"], r["base_labels"]) for r in licenses.scan_licenses(rows).collect()}
+    assert got == {1: ("mit", ""), 2: ("bsd", ""), 3: ("", ""), 4: ("", "")}
+    low = licenses.template_labels(rows.select(F.col("doc_id").alias("key"), "text"), [("x", "free charge copy notice")], 0.5).collect()
+    assert {r["key"] for r in low} == {1, 3}
+
+
 def test_template_join_is_exact(docs):
     import re
 
     got = {r["key"]: sorted(r["found"]) for r in licenses.template_labels(docs.select(F.col("doc_id").alias("key"), "text"), licenses.TEMPLATES, 0.9).collect()}
     word = re.compile(licenses.WORD.replace("\\x", "\\x"))
     for i, text in texts(docs):
-        blocks = [set(word.findall(line.lower())) for line in text.split("\n")]
+        lines = text.split("\n")
+        blocks = [set(word.findall(" ".join(lines[k : k + licenses.LINES]).lower())) for k in range(len(lines))]
         want = sorted({label for label, t in licenses.TEMPLATES for b in blocks if len(b & set(t.split())) >= 0.9 * len(set(t.split()))})
         assert got.get(i, []) == want
 
