@@ -19,12 +19,17 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(TOKEN), F.lit(0))
 
 
+def once(value: Column, f) -> Column:
+    """f(value) with value computed once a row, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def topic_words(text: Column, stop: list[str] = V.STOP) -> Column:
     """Distinct words of three letters or more, sorted: stop words dropped, ASCII plurals cut, the computing family joined."""
     kept = F.filter(tokens(text), lambda w: (F.length(w) > 2) & ~w.isin(stop))
     single = F.transform(kept, lambda w: F.when(w.rlike(r"^[\x00-\x7F]{5,}$") & w.endswith("s") & ~w.endswith("ss"), w.substr(F.lit(1), F.length(w) - 1)).otherwise(w))
     family = F.array(*[F.lit(w) for w in V.COMPUTING])
-    return F.array_sort(F.array_distinct(F.when(F.arrays_overlap(single, family), F.array_union(single, family)).otherwise(single)))
+    return once(single, lambda w: F.array_sort(F.array_distinct(F.when(F.arrays_overlap(w, family), F.array_union(w, family)).otherwise(w))))
 
 
 def topic_keywords(topic: Column) -> Column:

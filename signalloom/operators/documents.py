@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signalloom.functions import terms
 from signalloom.functions import text as T
 from signalloom.functions import vocabulary as V
 
@@ -14,17 +17,24 @@ def matches_topic(text: Column, keywords: list[str]) -> Column:
     return F.lit(True) if not keywords else T.contains_any(text, keywords)
 
 
-def topic_match(text: Column, keywords: list[str]) -> Column:
-    """At least two (or all, if fewer) distinct keywords among the text's words; nothing matches without keywords."""
+def topic_match(text: Column, keywords: list[str], bilingual: bool = False) -> Column:
+    """At least two (or all, if fewer) distinct keywords among the text's words; nothing matches without keywords.
+
+    If ``bilingual``, Russian words stand for their English terms on both sides, and a Cyrillic keyword
+    of over five letters matches any word that begins with all but its last two.
+    """
     keywords = list(dict.fromkeys(keywords))
     if not keywords:
         return F.lit(False)
-    words = T.topic_words(text)
-    found = F.size(F.array_intersect(words, T.topic_words(F.lit(keywords[0])))) > 0
-    total = found.cast("int")
-    for k in keywords[1:]:
-        total = total + F.arrays_overlap(words, T.topic_words(F.lit(k))).cast("int")
-    return total >= min(2, len(keywords))
+    words = (lambda x: terms.expand(T.topic_words(x))) if bilingual else T.topic_words
+
+    def hit(w: Column, k: str) -> Column:
+        found = F.arrays_overlap(w, words(F.lit(k)))
+        if bilingual and len(k) > 5 and re.search("[а-яё]", k.lower()):
+            found = found | F.exists(w, lambda x: x.startswith(k.lower()[:-2]))
+        return F.coalesce(found, F.lit(False)).cast("int")
+
+    return T.once(words(text), lambda w: sum((hit(w, k) for k in keywords[1:]), hit(w, keywords[0])) >= min(2, len(keywords)))
 
 
 def exclusion_reason(match: Column, as_of: str, max_age_days: int | None, status: Column, text: Column, scope: Column, published: Column) -> Column:
@@ -98,6 +108,13 @@ def band_pairs(df: DataFrame, doc: str, at: str, days: int) -> DataFrame:
     return day.join(other, "k").where((F.col("a") < F.col("b")) & (F.abs(F.datediff("x", "y")) <= days)).select("a", "b")
 
 
+def within_days(pairs: DataFrame, df: DataFrame, doc: str, at: str, days: int) -> DataFrame:
+    """The pairs (a, b) whose dates are at most ``days`` apart; an unknown date passes."""
+    one, two = (df.select(F.col(doc).alias(c), F.col(at).alias(f"at_{c}")) for c in "ab")
+    near = F.abs(F.datediff("at_a", "at_b")) <= days
+    return pairs.join(one, "a").join(two, "b").where(F.coalesce(near, F.lit(True))).select("a", "b")
+
+
 def primary_document(df: DataFrame, by: str, doc: str, text: str) -> DataFrame:
     return df.groupBy(by).agg(F.max_by(doc, F.struct(F.length(text), -F.col(doc))).alias(doc))
 

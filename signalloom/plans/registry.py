@@ -116,10 +116,10 @@ def source_type(spark, d):
     return documents(spark, d).select("doc_id", U.source_type(F.concat(F.lit("https://"), host, F.lit("/x")))["type"].alias("source_type"))
 
 
-@query("exact_dedup_url", "SELECT doc_id, u FROM (SELECT doc_id, doc_id % 700 AS u, row_number() OVER (PARTITION BY doc_id % 700 ORDER BY length(text) DESC, doc_id) AS r FROM documents) WHERE r = 1")
+@query("exact_dedup_url", f"SELECT page_id, normalized FROM (SELECT n.page_id, n.normalized, row_number() OVER (PARTITION BY n.normalized ORDER BY length(p.html) DESC, n.page_id) AS r FROM ({NORM}) n JOIN pages p USING (page_id)) WHERE r = 1")
 def exact_dedup_url(spark, d):
-    rows = documents(spark, d).select("doc_id", "text", (F.col("doc_id") % 700).alias("u"))
-    return D.keep_longest(rows, "u", "text", "doc_id").select("doc_id", "u")
+    rows = _pages(spark, d).select("page_id", "html", U.normalize_url(F.col("url")).alias("normalized"))
+    return D.keep_longest(rows, "normalized", "html", "page_id").select("page_id", "normalized")
 
 
 @query("exact_dedup_text", "SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
@@ -138,11 +138,11 @@ _stop = "[" + ",".join(f"'{w}'" for w in V.STOP) + "]"
 
 @query(
     "topic_words",
-    rf"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all({FOLD.format('substr(text,1,80)')}, '{TOK}'), lambda w: length(w) > 2 AND NOT list_contains({_stop}, w)),
+    rf"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all({FOLD.format('text')}, '{TOK}'), lambda w: length(w) > 2 AND NOT list_contains({_stop}, w)),
  lambda w: CASE WHEN regexp_matches(w, '^[\x00-\x7F]{{5,}}$') AND ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN left(w, length(w) - 1) ELSE w END))), ' ') AS words FROM documents""",
 )
 def topic_words(spark, d):
-    return documents(spark, d).select("doc_id", F.array_join(T.topic_words(F.col("title")), " ").alias("words"))
+    return documents(spark, d).select("doc_id", F.array_join(T.topic_words(F.col("text")), " ").alias("words"))
 
 
 @query("sentences", f"SELECT doc_id, len(s) AS n_sentences, CAST(coalesce(list_sum(list_transform(s, lambda x: length(x))), 0) AS BIGINT) AS n_chars FROM (SELECT doc_id, {SENT} AS s FROM documents)")
@@ -267,12 +267,6 @@ def trust_levels(spark, d):
     return documents(spark, d).select("doc_id", "trust_level")
 
 
-@query("trust_summary", f"{BASE} SELECT cand, string_agg(trust_level || ': ' || n, '; ' ORDER BY trust_level) AS summary FROM (SELECT cand, trust_level, count(*) AS n FROM d GROUP BY ALL) GROUP BY cand")
-def trust_summary(spark, d):
-    counts = documents(spark, d).groupBy("cand", "trust_level").agg(F.count(F.lit(1)).alias("n"))
-    return counts.groupBy("cand").agg(F.array_join(F.array_sort(F.collect_list(F.concat("trust_level", F.lit(": "), F.col("n").cast("string")))), "; ").alias("summary"))
-
-
 SCORE = f"""r AS (SELECT *, date '{AS_OF}' - latest AS age FROM f LEFT JOIN c USING (cand)),
  q AS (SELECT cand, age, confirmations, latest, greatest(0.0, least(1.0, CAST(0.5 AS DOUBLE) + CASE WHEN confirmations = 0 THEN -0.35 WHEN confirmations = 1 THEN 0.10 ELSE 0.30 END + CASE WHEN low_only THEN -0.25 ELSE 0 END + CASE WHEN academic THEN 0.15 ELSE 0 END
  + CASE WHEN high_docs > 0 THEN 0.10 ELSE 0 END + CASE WHEN early_ratio >= 0.5 THEN 0.10 ELSE 0 END + CASE WHEN future_ratio >= 0.999 THEN -0.05 WHEN future_ratio IS NOT NULL THEN 0.05 ELSE 0 END
@@ -548,9 +542,7 @@ _event = f"{BASE}, {PAIRS}, bp AS (SELECT p.a, p.b FROM pr p JOIN d x ON x.doc_i
 
 
 def _event_pairs(spark, d):
-    dates = documents(spark, d).select("doc_id", "published")
-    near = D.band_pairs(dates.join(_overlaps(spark, d).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id"), "doc_id", "published", 10)
-    return near.join(_overlaps(spark, d).select("a", "b"), ["a", "b"])
+    return D.within_days(_overlaps(spark, d).select("a", "b"), documents(spark, d), "doc_id", "published", 10)
 
 
 @query("event_band_join", f"{_event} SELECT a, b FROM bp")

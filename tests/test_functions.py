@@ -90,3 +90,35 @@ def test_overlap_needs_eight_tokens(spark):
     df = spark.createDataFrame([(1, text), (2, text), (3, "one two three")], "doc_id int, text string")
     rows = O.shingles(df, "doc_id", "text")
     assert [tuple(r) for r in O.containment_pairs(rows, rows, same=True).collect()] == [(1, 2, 1.0)]
+
+
+def test_topic_match_in_two_languages(spark):
+    from signalloom.operators import documents as D
+
+    rows = spark.createDataFrame([(1, "квантовыми сенсорами"), (2, "quantum sensors at work"), (3, "other words"), (4, None)], "i int, t string")
+    hit = lambda **k: {r[0] for r in rows.where(D.topic_match(rows.t, ["квантовые", "сенсоры"], **k)).collect()}
+    assert hit(bilingual=True) == {1, 2} and hit() == set()
+
+
+def test_containment_pairs_are_all_found(spark):
+    import random
+
+    from signalloom.operators import overlap as O
+
+    r = random.Random(5)
+    base = [[f"w{r.randrange(400)}" for _ in range(60)] for _ in range(6)]
+    texts = [" ".join(b[: r.randint(20, 60)] + [f"x{r.randrange(9)}" for _ in range(r.randint(0, 12))]) + " same tail for every text here" for b in base for _ in range(6)]
+    sets = {i: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for i, t in enumerate(texts)}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * min(len(sets[a]), len(sets[b]))}
+    rows = O.shingles(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), "i", "t")
+    assert {(x.a, x.b) for x in O.containment_pairs(rows, rows, same=True).collect()} == want and want
+    cross = O.containment_pairs(rows.where("doc < 18"), rows.where("doc >= 18"))
+    assert {(x.a, x.b) for x in cross.collect()} == {p for p in want if p[0] < 18 <= p[1]}
+
+
+def test_unknown_dates_pass(spark):
+    from signalloom.operators import documents as D
+
+    docs = spark.sql("SELECT * FROM VALUES (1, date'2026-01-01'), (2, date'2026-01-08'), (3, date'2026-03-01'), (4, null) AS t(doc, at)")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a int, b int")
+    assert {(x.a, x.b) for x in D.within_days(pairs, docs, "doc", "at", 10).collect()} == {(1, 2), (1, 4)}
