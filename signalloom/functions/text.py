@@ -94,3 +94,39 @@ def query_variants(topic: Column, most: int = 4) -> Column:
 def complete_date(text: Column) -> Column:
     """A date only where year, month and day are all given."""
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
+
+
+def excerpt(text: Column, title: Column, limit: int = 1500) -> Column:
+    """Up to two sentences that share most words with the title, as array<struct<start, end, quote>> by place.
+
+    A sentence has 40 to ``limit`` characters, is no page furniture and shares two words (or the title's
+    one); the second taken is the best that still fits into ``limit`` with the first.  Null texts give none.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"[^\n.!?]+[.!?]?|[\n.!?]"), F.lit(0))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,quote:string>>").alias("found"))
+
+    def place(state: Column, piece: Column) -> Column:
+        trimmed = F.regexp_replace(piece, r"(?U)^\s+", "")
+        one = F.struct((state["at"] + F.length(piece) - F.length(trimmed)).alias("start"), F.regexp_replace(trimmed, r"(?U)\s+$", "").alias("quote"))
+        return F.struct((state["at"] + F.length(piece)).alias("at"), F.when(F.length(one["quote"]) >= 40, F.array_append(state["found"], one)).otherwise(state["found"]).alias("found"))
+
+    kept = F.filter(F.aggregate(pieces, begin, place)["found"], lambda s: (F.length(s["quote"]) <= limit) & ~s["quote"].rlike("(?i)" + V.EXCERPT_NOISE))
+
+    def choose(topic: Column) -> Column:
+        need = F.least(F.lit(2), F.greatest(F.lit(1), F.size(topic)))
+        scored = F.transform(kept, lambda s: F.struct((-F.size(F.array_intersect(topic_words(s["quote"]), topic))).alias("rank"), s["start"].alias("start"), s["quote"].alias("quote")))
+        return once(F.array_sort(F.filter(scored, lambda s: -s["rank"] >= need)), best_two)
+
+    def best_two(ranked: Column) -> Column:
+        first = F.slice(ranked, 1, 1)
+        second = F.slice(F.filter(F.slice(ranked, 2, F.greatest(F.size(ranked), F.lit(1))), lambda s: F.length(s["quote"]) + F.length(F.get(ranked, F.lit(0))["quote"]) <= limit), 1, 1)
+        return F.array_sort(F.transform(F.concat(first, second), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["quote"])).alias("end"), s["quote"].alias("quote"))))
+
+    return once(topic_words(title), choose)
+
+
+def escape_html(text: Column) -> Column:
+    """Text safe inside HTML and quoted attributes."""
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(raw), F.lit(safe))
+    return text

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from signalloom.plans.gates import ORACLES, QUERIES
+from signalloom.plans.review import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
