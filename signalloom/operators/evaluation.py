@@ -111,7 +111,7 @@ def rank_report(assessed: DataFrame, limit: int = 15) -> tuple[DataFrame, DataFr
         raise ValueError("limit must be a positive integer")
     if not assessed.groupBy("candidate_id").count().where("count > 1").isEmpty():
         raise ValueError("repeated candidate_id")
-    group = F.when(F.coalesce("technology_group_id", F.lit("")) == "", F.col("candidate_id")).otherwise(F.col("technology_group_id"))
+    group = F.coalesce(F.nullif(F.col("technology_group_id").cast("string"), F.lit("")), F.col("candidate_id").cast("string"))
     weak = assessed.where("decision = 'weak'").withColumn("g", group)
     first = weak.groupBy("g").agg(F.min_by("candidate_id", F.struct(-F.col("score"), "candidate_id")).alias("first"))
     ranked = weak.join(first, "g").drop("g")
