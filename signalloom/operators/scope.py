@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from signalloom.functions import vocabulary as V
 from signalloom.operators.evidence import feature_flags
 from signalloom.operators.gates import stage_of, strict_date
-from signalloom.operators.overlap import components, stage_conflicts
+from signalloom.operators.overlap import components
 
 EARLY, MATURE = ("early_stage", "limited_adoption"), ("mass_adoption", "industry_standard")
 LASTING_DAYS = 90
@@ -72,7 +72,7 @@ def scope_groups(claims: DataFrame, links: DataFrame, by: str, least: int = 2) -
 
 
 def evaluate_signals(claims: DataFrame, sources: DataFrame, links: DataFrame, by: str) -> DataFrame:
-    """(by, flags.., stage, support) of candidates from their valid claims (as in scope_groups, with claim_id) and sources (by, source_type).
+    """(by, flags.., stage, support) of candidates from their valid claims (as in scope_groups) and sources (by, source_type).
 
     A candidate with sources but no claims is uncertain; without sources it has no row.
     """
@@ -81,8 +81,9 @@ def evaluate_signals(claims: DataFrame, sources: DataFrame, links: DataFrame, by
     long = lambda f: F.bool_or((c("feature") == f) & (c("span_days") >= LASTING_DAYS))
     pairs = scope.groupBy(by, "x", "y").agg((long(EARLY[0]) & long(EARLY[1])).alias("lasting"), F.bool_or(c("feature").isin(*EARLY, *MATURE)).alias("shared"))
     shared = pairs.groupBy(by).agg(F.bool_or("lasting").alias("lasting"), F.bool_or("shared").alias("shared"))
-    side = lambda names: claims.where(c("feature").isin(*names)).select(by, "claim_id", "terms")
-    conflicts = stage_conflicts(side(EARLY), side(MATURE), by).groupBy(by).agg(F.bool_or(c("status") == "potential_conflict").alias("potential_conflict"))
+    side = lambda names: claims.where(c("feature").isin(*names)).select(by, F.inline(anchors(c("terms")))).distinct()
+    # two claims share two terms or more just where they share a pair of terms, so no pairs of claims are made
+    conflicts = side(EARLY).join(side(MATURE), [by, "x", "y"], "left_semi").select(by).distinct().withColumn("potential_conflict", F.lit(True))
     flags = feature_flags(claims, by, [*EARLY, *MATURE, "relevance"]).withColumn("any_claim", F.lit(True))
     all_low = sources.groupBy(by).agg(F.bool_and(F.coalesce(c("source_type").isin(V.LOW_TYPES), F.lit(False))).alias("promotional"))
     out = all_low.join(flags, by, "left").join(shared, by, "left").join(conflicts, by, "left")

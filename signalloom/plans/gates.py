@@ -53,19 +53,19 @@ def evidence_gate(spark, d):
 
 TYPES = ["research", "official", "university", "patent", "professional_media", "unknown"]
 TOPIC = ["the", "from"]
-_words = f"regexp_extract_all({FOLD.format('substr(text,1,80)')}, '{TOK}')"
+_words = f"regexp_extract_all({FOLD.format('text')}, '{TOK}')"
 
 
 @query(
     "source_gate",
     f"""SELECT doc_id, CASE WHEN doc_id % 9 = 0 OR doc_id % 11 = 0 THEN 'not_original_source_text' WHEN kind = 'unknown' OR doc_id % 5 = 4 THEN 'insufficient_source_trust' WHEN published IS NOT NULL AND NOT {_valid('published')} THEN 'invalid_publication_date'
- WHEN published IS NULL OR published > '{AS_OF}' THEN 'missing_or_future_publication_date' WHEN NOT list_contains(w, 'that' || 'a') AND NOT list_contains(w, 'rehe') AND NOT list_contains(w, 'onen') THEN 'source_topic_not_established' END AS reason
+ WHEN published IS NULL OR published > '{AS_OF}' THEN 'missing_or_future_publication_date' WHEN NOT list_has_any(w, ['thata', 'rehe', 'onen', 'thatas', 'rehes', 'onens']) THEN 'source_topic_not_established' END AS reason
  FROM (SELECT doc_id, {_pick_sql(TYPES)} AS kind, {_pick_sql(DATES)} AS published, {_words} AS w FROM documents)""",
 )
 def source_gate(spark, d):
     c = F.col
     rows = documents(spark, d).select(
-        "doc_id", "title", _pick(TYPES).alias("source_type"), F.when(c("doc_id") % 5 == 4, "low").otherwise("high").alias("trust_level"), F.lit("listed").alias("trust_reason"),
+        "doc_id", F.col("text").alias("title"), _pick(TYPES).alias("source_type"), F.when(c("doc_id") % 5 == 4, "low").otherwise("high").alias("trust_level"), F.lit("listed").alias("trust_reason"),
         (c("doc_id") % 9 == 0).alias("is_generated"), F.lit(False).alias("is_translated"), F.when(c("doc_id") % 11 == 0, "search_snippet").alias("text_scope"), _pick(DATES).alias("published_at"),
     )
     return rows.select("doc_id", G.source_reason(AS_OF, F.array(*[F.lit(x) for x in ("thata", "rehe", "onen")])).alias("reason"))
@@ -101,9 +101,9 @@ def companies(spark, d):
     return spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.array_join(terms.companies(text, F.lit(None).cast("string")), "|").alias("found"))
 
 
-@query("payload_github", "SELECT 'https://code.example/' || doc_id AS url, substr(text, 1, 80) AS title, lang AS snippet FROM documents")
+@query("payload_github", "SELECT 'https://code.example/' || doc_id AS url, text AS title, lang AS snippet FROM documents")
 def payload_github(spark, d):
-    item = F.struct(F.concat(F.lit("https://code.example/"), "doc_id").alias("html_url"), F.col("title").alias("full_name"), F.col("lang").alias("description"), F.lit("2026-01-02T03:04:05Z").alias("created_at"))
+    item = F.struct(F.concat(F.lit("https://code.example/"), "doc_id").alias("html_url"), F.col("text").alias("full_name"), F.col("lang").alias("description"), F.lit("2026-01-02T03:04:05Z").alias("created_at"))
     return P.github(documents(spark, d).select(F.to_json(F.struct(F.array(item).alias("items"))).alias("payload"))).select("url", "title", "snippet")
 
 
@@ -116,14 +116,6 @@ def payload_crossref(spark, d):
     return P.crossref(rows).select("url", F.to_date("published_at").alias("published"), "date_estimated")
 
 
-@query("leader_clusters")
-def leader_clusters(spark, d):
-    """Greedy leaders among equal openings and neighbours of the source; no SQL, tests hold it against a loop."""
-    rows = documents(spark, d).select("doc_id", F.substring("text", 1, 12).alias("k"))
-    pairs = rows.select(F.col("doc_id").alias("a"), "k").join(rows.select(F.col("doc_id").alias("b"), "k"), "k").where("a < b AND (b - a) % 3 <> 0")
-    return G.leaders(pairs)
-
-
 @query("trust_summary", f"{BASE}, n AS (SELECT cand, trust_level, count(*) AS n FROM d GROUP BY cand, trust_level) SELECT cand, string_agg(trust_level || ': ' || n, '; ' ORDER BY trust_level || ': ' || n) AS summary FROM n GROUP BY cand")
 def trust_summary(spark, d):
     return R.trust_summary(documents(spark, d), "cand")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from signalloom.operators import profile as R
 from signalloom.sources.pages import page, parse_pages
+from signalloom.streaming import loop
 from signalloom.streaming.loop import collect
 
 
@@ -36,3 +37,18 @@ def test_loop(spark, tmp_path):
     assert state == {"https://a.b/x": ("new", "0", "1"), "https://c.d/y": ("other", "1", "1")}
     assert [r.payload for r in spark.read.parquet(f"{out}/versions/batch=1").collect()] == ["longer"]
     assert {(r.cycle, r.status) for r in spark.read.json(f"{out}/ledger").collect()} == {("cycle-00000000", "ok"), ("cycle-00000001", "ok")}
+
+
+def test_failed_cycle(spark, tmp_path, monkeypatch):
+    src, out, merge = f"{tmp_path}/in", f"{tmp_path}/out", loop.merge_documents
+
+    def broken(*a):
+        raise RuntimeError("no merge")
+
+    for i, rows in enumerate([[("https://a.b/x", "one")], [("https://a.b/x", "two"), ("https://c.d/y", "lost?")], [("https://e.f/z", "three")]]):
+        monkeypatch.setattr(loop, "merge_documents", broken if i == 1 else merge)
+        spark.createDataFrame(rows, "url string, payload string").coalesce(1).write.mode("append").json(src)
+        collect(spark.readStream.schema("url string, payload string").json(src), out, None).awaitTermination()
+    state = {r.normalized_url: (r.payload, r.first_seen[-1]) for r in spark.read.parquet(f"{out}/state/batch=2").collect()}
+    assert state == {"https://a.b/x": ("two", "0"), "https://c.d/y": ("lost?", "2"), "https://e.f/z": ("three", "2")}
+    assert [r.status for r in spark.read.json(f"{out}/ledger").orderBy("cycle").collect()] == ["ok", "error", "ok"]
