@@ -40,3 +40,14 @@ def persist_snapshot(df: DataFrame, folder: str) -> bool:
 def export_lines(df: DataFrame, folder: str) -> None:
     """One JSON object a line, nulls kept."""
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").text(folder)
+
+
+def export_csv(df: DataFrame, folder: str) -> None:
+    """A table with a header; an existing one is an error."""
+    df.write.mode("errorifexists").csv(folder, header=True)
+
+
+def review_pack(tables: dict[str, DataFrame], folder: str) -> None:
+    """Sheets for reviewers, written only where none is there yet, so that no entry is lost."""
+    for name, df in tables.items():
+        df.write.mode("ignore").csv(f"{folder}/{name}", header=True)

@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from signalloom.plans import candidates  # noqa: F401
 from signalloom.plans.review import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
