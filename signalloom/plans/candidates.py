@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from signalloom.functions import terms
 from signalloom.functions import vocabulary as V
 from signalloom.operators import candidates as C
+from signalloom.operators import presentation as P
+from signalloom.operators import textmodel as M
 from signalloom.sources import answers as W
 from signalloom.plans.gates import _pick, _pick_sql
 from signalloom.plans.registry import BASE, CONFIRM, EVIDENCE, FEATURE, KEYWORDS, ORACLES, QUERIES, SCORE, SENT, TOK, _evidence, _in, _kw, _scored, documents, query  # noqa: F401
@@ -196,3 +198,32 @@ _hits = ", ".join(f"len(list_filter(w, lambda x: x IN {_in(ws)})) AS {k}" for k,
 def detect_language(spark, d):
     found = W.detect_language(F.col("text"), F.when(F.col("doc_id") % 9 == 0, "PT-br"), LANGUAGE_WORDS)
     return documents(spark, d).select("doc_id", found.alias("x")).select("doc_id", "x.language", "x.confidence")
+
+
+# text weights and lists of a run
+@query(
+    "text_weights",
+    f"""WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '{TOK}'), lambda x: length(x) >= 2) AS w FROM documents), g AS (SELECT doc_id, unnest(w) AS term FROM w UNION ALL SELECT doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w)),
+ c AS (SELECT doc_id, term, count(*) AS n FROM g GROUP BY ALL), v AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1 AS idf FROM c GROUP BY term ORDER BY sum(n) DESC, term LIMIT 5000),
+ r AS (SELECT doc_id, (1 + ln(n)) * idf AS x FROM c JOIN v USING (term)) SELECT doc_id, count(*) AS n_terms, round(sum(x) / sqrt(sum(x * x)), 5) AS total, round(max(x) / sqrt(sum(x * x)), 5) AS largest FROM r GROUP BY doc_id""",
+)
+def text_weights(spark, d):
+    rows = documents(spark, d)
+    counts = M.term_counts(rows, "doc_id", "text")
+    found = M.weighted(counts, M.vocabulary(counts, "doc_id", rows.count()), "doc_id")
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 5).alias("largest"))
+
+
+@query(
+    "run_lists",
+    "WITH r AS (SELECT candidate_id, row_number() OVER (ORDER BY candidate_id) AS place FROM (SELECT p_partkey AS candidate_id FROM part WHERE p_partkey % 25 = 0 ORDER BY 1 LIMIT 6)), f AS (SELECT p_partkey AS candidate_id, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS n FROM part WHERE p_partkey % 2 = 0 AND p_partkey NOT IN (SELECT candidate_id FROM r)), k AS (SELECT count(*) AS taken FROM r) SELECT candidate_id, CAST(place AS INTEGER) AS place, FALSE AS preliminary FROM r UNION ALL SELECT candidate_id, CAST(n + taken AS INTEGER), TRUE FROM f, k WHERE n + taken <= 15",
+)
+def run_lists(spark, d):
+    n, yes = F.col("p_partkey"), F.lit(True)
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    rated = parts.select(
+        n.alias("candidate_id"), F.col("p_size").alias("score"), F.lit("needs_review").alias("decision"), F.when(n % 2 == 0, "insufficient_explicit_evidence").otherwise("explicit_maturity_claim").alias("reason"),
+        yes.alias("early_stage"), yes.alias("relevance"), F.lit(False).alias("mass_adoption"), F.lit(False).alias("industry_standard"),
+    )
+    results = parts.where(n % 25 == 0).orderBy(n).limit(6).select(n.alias("candidate_id"), n.alias("place"))
+    return P.run_lists(rated, results)
