@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("substring_dedup", "bpe", "quality_classifier", "near_dedup", "licenses", "lm", "token_counts", "fingerprints", "quality_rules", "mixing", "whitening", "alignment")
+MODULES = ("substring_dedup", "bpe", "quality_classifier", "near_dedup", "licenses", "lm", "token_counts", "fingerprints", "quality_rules", "mixing", "decontamination", "alignment", "whitening")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 for _m in MODULES:

@@ -168,3 +168,94 @@ def robust_distances(rows, vector, floor, covered, steps, pull, quantile, cdf):
         return up_mean + own * gap, own * cov + (1 - own) * up_cov + own * (1 - own) * np.outer(gap, gap)
 
     return {k: float(spread(*drawn((r[0], r[1])), vector[k : k + 1])[0]) for k, r in enumerate(rows)}
+
+
+def alignment(rows, a_path, b_path):
+    """[(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)] by the libraries, text by text."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(a_path)
+    t.encode_special_tokens = True
+    sp = sentencepiece.SentencePieceProcessor(model_file=b_path)
+    plain = [b for b in range(256) if chr(b).isprintable() and b not in (32, 0xA0, 0xAD)]
+    alphabet = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    docs, count = [], Counter()
+    for i, text in rows:
+        a, b = (t.encode(" " + text, add_special_tokens=False).ids, sp.encode(text)) if text else ([], [])
+        pa = [bytes(alphabet[c] for c in t.id_to_token(x)) for x in a]
+        pb = [bytes([int(sp.id_to_piece(x)[3:5], 16)]) if sp.is_byte(x) else sp.id_to_piece(x).replace("▁", " ").encode() for x in b]
+        groups = []
+        if a and b"".join(pa) == b"".join(pb) == (" " + text).encode():
+            x = y = at_a = at_b = 0
+            ga, gb = [], []
+            while x < len(a) or y < len(b):
+                if at_a <= at_b:
+                    at_a += len(pa[x])
+                    ga.append(a[x])
+                    x += 1
+                else:
+                    at_b += len(pb[y])
+                    gb.append(b[y])
+                    y += 1
+                if at_a == at_b:
+                    groups.append((ga, gb))
+                    ga, gb = [], []
+        else:
+            a = b = []
+        count.update((ga[-1], gb[-1]) for ga, gb in groups)
+        docs.append((i, len(a), len(b), groups))
+    most = defaultdict(int)
+    for (_, b), n in count.items():
+        most[b] = max(most[b], n)
+    out = []
+    for i, na, nb, groups in docs:
+        links = [(ga[-1], gb[-1]) for ga, gb in groups]
+        text = ";".join(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)) for ga, gb in groups)
+        out.append((i, na, nb, len(groups), len(links), sum(count[p] == most[p[1]] for p in links), sum(count[p] for p in links), sha(text) if groups else ""))
+    return out
+
+
+def whitened(vectors, k=8):
+    """(whole numbers, whitened rows by numpy, share of the variance) of usable vectors."""
+    x = np.floor(np.asarray(vectors, float) * 1024).astype(np.int64) + 100_000
+    centred = x - x.mean(0)
+    value, vector = np.linalg.eigh(centred.T @ centred / len(x))
+    order = np.argsort(-value)[:k]
+    return x, centred @ vector[:, order] / np.sqrt(value[order]), value[order] / value.sum()
+
+
+def decontaminated(docs, items, window=10):
+    """[(doc_id, n_words, n_hit, n_items, items_sha256)]; docs and items are (id, text)."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = defaultdict(set)
+    for i, text in items:
+        w = split(text)
+        for a in range(max(1, len(w) - window + 1) if w else 0):
+            windows[tuple(w[a : a + window])].add("" if i is None else str(i))
+    out = []
+    for i, text in docs:
+        w, hit, found = split(text), set(), set()
+        for n in {len(x) for x in windows}:
+            for a in range(len(w) - n + 1):
+                if tuple(w[a : a + n]) in windows:
+                    hit.update(range(a, a + n))
+                    found |= windows[tuple(w[a : a + n])]
+        out.append((i, len(w), len(hit), len(found), sha(",".join(sorted(found)))))
+    return out
+
+
+def nearby(docs, items, within):
+    """{(row, item row): places} where all words of an item stand within so many words; a place is the rarest word's."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    found = set()
+    for r, (_, text) in enumerate(docs):
+        w = split(text)
+        for k, (_, item) in enumerate(items):
+            need = set(split(item))
+            for a in range(len(w)):
+                if need and need <= set(w[a : a + within]):
+                    found.add((r, k))
+    return found
