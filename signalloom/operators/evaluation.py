@@ -96,9 +96,13 @@ def merged_groups(df: DataFrame, row: str, keys: list[str]) -> DataFrame:
 def token_features(text: Column, domain: Column) -> Column:
     """Map of features: each distinct word of two letters or more at 1 / sqrt(words), and the domain at 1; none for blank text."""
     words = F.array_distinct(F.filter(F.regexp_extract_all(T.fold(text), F.lit(T.TOKEN), F.lit(0)), lambda w: F.length(w) >= 2))
-    share = lambda w: F.struct(F.concat(F.lit("word:"), w).alias("k"), (1 / F.sqrt(F.size(words))).alias("v"))
     known = F.array(F.struct(F.concat(F.lit("domain:"), F.coalesce(domain, F.lit("unknown"))).alias("k"), F.lit(1.0).alias("v")))
-    return F.when(F.trim(text) != "", F.map_from_entries(F.concat(F.transform(words, share), known)))
+
+    def weighted(found: Column) -> Column:
+        share = 1 / F.sqrt(F.size(found))
+        return F.map_from_entries(F.concat(F.transform(found, lambda w: F.struct(F.concat(F.lit("word:"), w).alias("k"), share.alias("v"))), known))
+
+    return F.when(F.trim(text) != "", T.once(words, weighted))
 
 
 def rank_report(assessed: DataFrame, limit: int = 15) -> tuple[DataFrame, DataFrame, dict]:

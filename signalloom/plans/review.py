@@ -9,6 +9,7 @@ from signalloom.functions import urls as U
 from signalloom.functions import vocabulary as V
 from signalloom.operators import adapter as A
 from signalloom.operators import evaluation as X
+from signalloom.operators import events as Y
 from signalloom.operators import likeness as K
 from signalloom.operators import models as M
 from signalloom.operators import scope as S
@@ -210,7 +211,7 @@ def near_duplicates(spark, d):
 @query("deduplicate_and_score")
 def deduplicate_and_score(spark, d):
     rows = documents(spark, d).withColumn("url", F.concat(F.lit("u"), F.col("doc_id")))
-    return K.deduplicate_and_score(rows, "url", "text", "doc_id").select("doc_id", "duplicate_of", "trust_level")
+    return Y.deduplicate_and_score(rows, "url", "text", "doc_id").select("doc_id", "duplicate_of", "event_cluster_id", "trust_level")
 
 
 @query("source_ranker")
@@ -219,3 +220,9 @@ def source_ranker(spark, d):
     rows = documents(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality"), "doc_id")
     ready = rows.select("doc_id", "cand", "quality", F.log1p(F.length("text")).alias("log_length"), (F.size(F.split("text", r"\s+")) / (1.0 + F.length("text"))).alias("word_share"), T.contains_any(F.col("text"), ["thst"]).cast("double").alias("marker"))
     return M.ridge(ready, ["log_length", "word_share", "marker"], "quality", "cand", 10.0, True, 0.0, 1.0)[1].select("doc_id", "fold", "prediction", "baseline")
+
+
+@query("event_clusters_by_likeness")
+def event_clusters_by_likeness(spark, d):
+    """Clusters of documents at likeness 45 within ten days; no SQL has the edit ratio, tests hold them against the double loop."""
+    return Y.event_clusters(documents(spark, d), "doc_id", F.col("text"), "published")

@@ -13,6 +13,7 @@ from signalloom.functions import urls as U
 from signalloom.functions import vocabulary as V
 from signalloom.operators import adapter as A
 from signalloom.operators import evaluation as X
+from signalloom.operators import events as Y
 from signalloom.operators import likeness as K
 from signalloom.operators import models as M
 
@@ -53,7 +54,7 @@ def test_near_duplicates(spark):
     assert {x.k: x.duplicate_of for x in K.near_duplicates(df, "k", "t", []).collect()} == follows and len(follows) > 20
     assert K.near_duplicates(df.limit(0), "k", "t", []).count() == 0
     more = df.select(F.concat(F.lit("u"), "k").alias("url"), "k", "t", F.lit("ok").alias("status"), F.lit(0.5).alias("confidence"), F.lit(None).cast("date").alias("published"), F.when(F.col("k") == 42, "primary_official").otherwise("forum").alias("source_type"))
-    got = {x.k: (x.duplicate_of, x.trust_level) for x in K.deduplicate_and_score(more, "url", "t", "k").collect()}
+    got = {x.k: (x.duplicate_of, x.trust_level) for x in Y.deduplicate_and_score(more, "url", "t", "k").collect()}
     assert len(got) == len(rows) and got[42] == (None, "high") and got[2] == (42, "unverified") and got[len(rows) - 2][1] == "low"
 
 
