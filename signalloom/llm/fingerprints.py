@@ -44,9 +44,9 @@ def shingles(s: B.Slice, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((B.gram_hashes(h, k)[ok], whole)), np.concatenate((row[ok], short))
 
 
-def packed(s: B.Slice) -> tuple[np.ndarray, np.ndarray]:
-    """One row of BINS bytes per text, and which texts have words at all."""
-    h, row = shingles(s)
+def packed(s: B.Slice, found: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """One row of BINS bytes per text, and which texts have words at all; of its shingles, or of the hashes and rows given."""
+    h, row = found or shingles(s)
     least = np.full(s.rows * BINS, EMPTY)
     np.minimum.at(least, row * BINS + (h >> B.U64(64 - BINS.bit_length() + 1)).astype(np.int64), B.mix(h) >> B.U64(1))
     least = least.reshape(s.rows, BINS)

@@ -14,10 +14,10 @@ in the first sketch it shares only, and goes on only if the sets of its k-mers'
 belong to a link.  So no pair within a bucket is left out, and a large group whose members link to its
 centre costs one comparison each.
 
-Verification aligns the two texts' distinct KMER-word sequences, each where it first stands, within
-the band that the threshold leaves: similarity is aligned / (all - aligned), which is the likeness of
-the two sets where their order agrees.  As no sequence stands twice, the best alignment is a longest
-increasing run of places; it takes memory in proportion to the texts.
+Verification aligns the two texts' labelled k-mers, the first occurrence of a sequence with the first, the second
+with the second, within the band that the threshold leaves: similarity is aligned / (all - aligned), which is the
+likeness of the two multisets of sequences where their order agrees; a text and its double have 0.5.  As no labelled k-mer
+stands twice, the best alignment is a longest increasing run of places; it takes memory in proportion to the texts.
 """
 
 from __future__ import annotations
@@ -43,26 +43,25 @@ LEFT_BLOCK, RIGHT_BLOCK = 256, 2048
 ORDERS = B.mix(np.arange(1, SKETCHES + 1, dtype=B.U64) * B.U64(0xD1342543DE82EF95)) | B.U64(1)
 
 
-def occurrence_labels(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each k-mer's hash joined with how often it stood before in its row, and whether it did not."""
-    order = np.lexsort((np.arange(len(h)), h, row))
+def labelled(s: B.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, rows and labels of all k-mers in text order, row after row; a label is the hash joined with how often it stood before in its row."""
+    h, row = shingles(s, KMER)
+    order = np.argsort(row, kind="stable")
+    h, row = h[order], row[order]
+    order = np.lexsort((h, row))
     first = np.ones(len(h), bool)
     first[1:] = (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])
     at = np.arange(len(h))
     n = np.empty(len(h), np.int64)
     n[order] = at - np.maximum.accumulate(np.where(first, at, 0))
-    return B.mix(h + n.astype(B.U64) * B.U64(0x9E3779B97F4A7C15)), n == 0
+    return h, row, B.mix(h + n.astype(B.U64) * B.U64(0x9E3779B97F4A7C15))
 
 
-def order_sketches(s: B.Slice) -> tuple[np.ndarray, np.ndarray]:
-    """rows x SKETCHES, zeros for a text without words; and how many distinct k-mers each text has."""
-    h, row = shingles(s, KMER)
-    out = np.zeros((s.rows, SKETCHES), B.U64)
+def order_sketches(rows: int, h: np.ndarray, row: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """rows x SKETCHES, zeros for a text without words, of labelled k-mers."""
+    out = np.zeros((rows, SKETCHES), B.U64)
     if not len(h):
-        return out, np.zeros(s.rows, np.int64)
-    order = np.argsort(row, kind="stable")
-    h, row = h[order], row[order]
-    labels, kinds = occurrence_labels(h, row)
+        return out
     cut = np.flatnonzero(np.diff(row, prepend=-1))
     sizes = np.diff(np.append(cut, len(row)))
     for k, by in enumerate(ORDERS):
@@ -80,10 +79,10 @@ def order_sketches(s: B.Slice) -> tuple[np.ndarray, np.ndarray]:
         for j in range(SAMPLED):
             key = B.mix(key * B.U64(0xD1342543DE82EF95) + padded[at[:, j]])
         out[row[cut], k] = key
-    return out, np.bincount(row, kinds, s.rows).astype(np.int64)
+    return out
 
 
-SKETCHED = "key binary, id long, n1 long, n2 long, n_kinds long, sketch array<long>, print binary"
+SKETCHED = "key binary, id long, n1 long, n2 long, n_kmers long, sketch array<long>, print binary"
 
 
 def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -95,14 +94,15 @@ def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 w = B.words(s)
                 h = B.word_hashes(s, w)
                 n1, n2 = (pa.array(B.span_hashes(x, w.at[:-1], w.at[1:], seed).view(np.int64)) for seed, x in enumerate((h, B.word_hashes(s, w, seed=1))))
-                values, kinds = order_sketches(s)
-                kinds[w.counts < KMER] = 0
+                found, row, labels = labelled(s)
+                values = order_sketches(s.rows, found, row, labels)
+                kmers_of = np.where(w.counts < KMER, 0, w.counts - KMER + 1)
                 sketch = pa.ListArray.from_arrays(pa.array(np.arange(s.rows + 1, dtype=np.int32) * SKETCHES), pa.array(values.view(np.int64).ravel()))
-                prints, _ = packed(s)
+                prints, _ = packed(s, (labels, row))
                 off = np.arange(s.rows + 1, dtype=np.int32) * BINS
                 binary = pa.BinaryArray.from_buffers(pa.binary(), s.rows, [None, pa.py_buffer(off.tobytes()), pa.py_buffer(prints.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(s.first, s.rows), b.column(1).slice(s.first, s.rows), n1, n2, pa.array(kinds), sketch, binary], names=["key", "id", "n1", "n2", "n_kinds", "sketch", "print"]
+                    [b.column(0).slice(s.first, s.rows), b.column(1).slice(s.first, s.rows), n1, n2, pa.array(kmers_of), sketch, binary], names=["key", "id", "n1", "n2", "n_kmers", "sketch", "print"]
                 )
 
     return rows.mapInArrow(run, SKETCHED)
@@ -122,7 +122,7 @@ def increasing(places: np.ndarray) -> int:
 
 
 def alignment_similarity(x: np.ndarray, y: np.ndarray, threshold: float = SIMILARITY) -> float:
-    """Aligned k-mers over all, of two texts' distinct k-mers in the order in which they first stand; 0 below the threshold.
+    """Aligned k-mers over all, of two texts' labelled k-mers in text order; 0 below the threshold.
 
     The band is as wide as k-mers can stand unmatched if the threshold is met; matches outside it
     belong to no alignment that does.
@@ -142,24 +142,16 @@ def alignment_similarity(x: np.ndarray, y: np.ndarray, threshold: float = SIMILA
 
 
 def kmers(texts: DataFrame, short: bool = False) -> DataFrame:
-    """(node, kmers): 64-bit hashes of the distinct k-mers of rows (node, text), in the order in which they first stand.
-
-    If ``short``, their distinct leading 16 bits.
-    """
+    """(node, kmers): the labels of all k-mers of rows (node, text) in text order; if ``short``, their distinct leading 16 bits."""
 
     def run(batches):
         for b in batches:
             out = []
             for s in B.slices(b.column(1)):
-                h, row = shingles(s, KMER)
-                at = np.lexsort((np.arange(len(h)), h, row))
-                first = np.ones(len(h), bool)
-                first[1:] = (h[at][1:] != h[at][:-1]) | (row[at][1:] != row[at][:-1])
-                kept = np.sort(at[first])
-                kept = kept[np.argsort(row[kept], kind="stable")]
-                cut = np.searchsorted(row[kept], np.arange(s.rows + 1))
+                _, row, labels = labelled(s)
+                cut = np.searchsorted(row, np.arange(s.rows + 1))
                 for i, j in zip(cut, cut[1:], strict=False):
-                    own = h[kept[i:j]]
+                    own = labels[i:j]
                     out.append((np.unique(own >> B.U64(48)).astype("<u2") if short else own).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["node", "kmers"])
 
@@ -189,7 +181,7 @@ def _alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose lengths and fingerprints may belong to a link."""
-    one, two = (nodes.select(F.col("node").alias(c), F.col("n_kinds").alias(f"n{c}"), F.col("print").alias(f"p{c}")) for c in "ab")
+    one, two = (nodes.select(F.col("node").alias(c), F.col("n_kmers").alias(f"n{c}"), F.col("print").alias(f"p{c}")) for c in "ab")
     both = pairs.join(one, "a").join(two, "b").where(_near_length("na", "nb", threshold))
 
     def run(batches):
@@ -227,10 +219,10 @@ def rest_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, texts_of
     left = rows.where("label <> major").select("bucket", "node", "label", (place % F.col("lefts")).cast("int").alias("l"), each("rights").alias("r"), F.lit(True).alias("left"))
     right = rows.select("bucket", "node", "label", each("lefts").alias("l"), (place % F.col("rights")).cast("int").alias("r"), F.lit(False).alias("left"))
     kinds = store(kmers(texts_of(rows.select("node").distinct()), short=True), "kinds").select("node", F.col("kmers").alias("kinds"))
-    both = left.unionByName(right).join(nodes.select("node", "n_kinds", "sketch").join(kinds, "node"), "node").join(rows.select("bucket", "node", F.col("major").alias("m")), ["bucket", "node"])
+    both = left.unionByName(right).join(nodes.select("node", "n_kmers", "sketch").join(kinds, "node"), "node").join(rows.select("bucket", "node", F.col("major").alias("m")), ["bucket", "node"])
 
     def run(table: pa.Table) -> pa.Table:
-        bucket, node, label, n, major = (np.asarray(table.column(c)) for c in ("bucket", "node", "label", "n_kinds", "m"))
+        bucket, node, label, n, major = (np.asarray(table.column(c)) for c in ("bucket", "node", "label", "n_kmers", "m"))
         is_left = np.asarray(table.column("left"))
         sketch = np.asarray(table.column("sketch").combine_chunks().flatten()).reshape(-1, SKETCHES)
         kinds = [np.frombuffer(x, "<u2") for x in table.column("kinds").to_pylist()]
@@ -273,10 +265,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = store(sketched(df, id_col, text_col), "sketches")
     nodes = rows.groupBy("n1", "n2").agg(
-        F.min("key").alias("key"), F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_kinds").alias("n_kinds"), F.first("sketch").alias("sketch"), F.first("print").alias("print")
+        F.min("key").alias("key"), F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_kmers").alias("n_kmers"), F.first("sketch").alias("sketch"), F.first("print").alias("print")
     )
     nodes = store(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    placed = nodes.where("n_kinds > 0").select("node", F.explode("sketch").alias("bucket"))
+    placed = nodes.where("n_kmers > 0").select("node", F.explode("sketch").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = store(placed.join(sizes, "bucket"), "buckets")
     first = store(likely(star_pairs(buckets), nodes, threshold), "pairs")

@@ -106,7 +106,10 @@ def targets(sizes, weights=(1, 2, 3), most=3):
 
 
 def links(rows, k=5, threshold=0.8):
-    """All pairs of different texts whose k-word sets have that likeness, through an index of the sequences."""
+    """All pairs of different texts whose multisets of k-word sequences have that likeness, through an index of the sequences.
+
+    A sequence counts as often as it stands: its second occurrence is another member than its first.
+    """
     sets, index, same = {}, {}, {}
     out = set()
     for i, t in rows:
@@ -116,7 +119,12 @@ def links(rows, k=5, threshold=0.8):
             continue
         same[w] = i
         if len(w) >= k:
-            sets[i] = {w[j : j + k] for j in range(len(w) - k + 1)}
+            seen = Counter()
+            sets[i] = set()
+            for j in range(len(w) - k + 1):
+                g = w[j : j + k]
+                sets[i].add((g, seen[g]))
+                seen[g] += 1
     shared = Counter()
     for i, grams in sets.items():
         for g in grams:

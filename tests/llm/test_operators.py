@@ -217,11 +217,17 @@ def test_long_texts(spark, long_rows):
     assert len(quality_classifier.classify(long_rows, labels).collect()) == len(rows)
 
 
-def test_repetitive_texts_align(spark):
-    """Texts of many equal k-mers are aligned by their distinct ones."""
-    rows = spark.createDataFrame([(n, "ab cd " * n) for n in (40_000, 24_000)], "node long, text string")
-    one, two = (np.frombuffer(r["kmers"], np.uint64) for r in near_dedup.kmers(rows).collect())
-    assert len(one) == len(two) == 2 and near_dedup.alignment_similarity(one, two) == 1.0
+def test_repetition_counts(spark):
+    """A sequence's second occurrence is no copy of its first: a text and its double are two classes, nearly as many repetitions are one."""
+    rows = spark.createDataFrame([(n, "ab cd " * n) for n in (40_000, 36_000, 24_000)], "doc_id long, text string")
+    one, two, three = (np.frombuffer(r["kmers"], np.uint64) for r in near_dedup.kmers(rows.withColumnRenamed("doc_id", "node")).collect())
+    assert len(set(one.tolist())) == len(one) == 79_996
+    assert near_dedup.alignment_similarity(one, two) == pytest.approx(71_996 / 79_996) and near_dedup.alignment_similarity(one, three) == 0.0
+    base = " ".join(f"t{i}" for i in range(200))
+    more = [(1, base), (2, f"{base} {base}"), (3, " ".join([base] * 50)), (4, base.replace("t7 ", "x ")), (5, " ".join([base] * 49)), (6, "ab cd ef gh ij kl mn " * 3), (7, "ab cd ef gh ij kl mn " * 3000)]
+    got = {r["id"]: r["class_id"] for r in near_dedup.near_duplicates(rows.union(spark.createDataFrame(more, "doc_id long, text string"))).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 1, 5: 3, 6: 6, 7: 7, 40_000: 36_000, 36_000: 36_000, 24_000: 24_000}
+    assert sorted(r["doc_id"] for r in near_dedup.drop_near_duplicates(spark.createDataFrame(more, "doc_id long, text string")).collect()) == [1, 2, 3, 6, 7]
 
 
 def test_equal_rows_share_their_marks(spark):
