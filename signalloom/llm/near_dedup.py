@@ -104,6 +104,7 @@ def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(s.first, s.rows), b.column(1).slice(s.first, s.rows), n1, n2, pa.array(kmers_of), sketch, binary], names=["key", "id", "n1", "n2", "n_kmers", "sketch", "print"]
                 )
+        B.give_back()
 
     return rows.mapInArrow(run, SKETCHED)
 
@@ -154,6 +155,7 @@ def kmers(texts: DataFrame, short: bool = False) -> DataFrame:
                     own = labels[i:j]
                     out.append((np.unique(own >> B.U64(48)).astype("<u2") if short else own).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["node", "kmers"])
+        B.give_back()
 
     return texts.select("node", "text").mapInArrow(run, "node long, kmers binary")
 
@@ -170,6 +172,7 @@ def verify(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
             pick = lambda c, i: np.frombuffer(c[i].as_buffer(), B.U64)
             mask = pa.array([alignment_similarity(pick(xs, i), pick(ys, i), threshold) >= threshold - 1e-9 for i in range(batch.num_rows)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], schema=schema)
+        B.give_back()
 
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
@@ -244,10 +247,12 @@ def rest_pairs(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, texts_of
             first = shared.argmax(1)
             j = j[sketch[i][first] == bucket[i]]
             if len(j):
-                common = (bits[place[j]][:, kinds[i] >> 3] >> (kinds[i] & 7).astype(np.uint8) & 1).sum(1, dtype=np.int64)
+                common = (bits[np.ix_(place[j], kinds[i] >> 3)] >> (kinds[i] & 7).astype(np.uint8) & 1).sum(1, dtype=np.int64)
                 j = j[common >= (threshold - HASH_SLACK) * (size[i] + size[j] - common)]
             a_s.append(np.full(len(j), node[i]))
             b_s.append(node[j])
+        del bits
+        B.give_back()
         none = np.zeros(0, np.int64)
         return pa.table({"a": np.concatenate([none, *a_s]), "b": np.concatenate([none, *b_s])})
 
