@@ -14,28 +14,29 @@ context positions, then the word within the symbol:
 * within a class, words have their share of the training counts, and one unseen word has the
   share of words seen once.
 
-Training takes every token of the training texts, in ``ROUNDS`` disjoint parts: in each, at most
-``LEARNERS`` tasks learn from their texts by noise-contrastive estimation (of the group against the mean
-over all noise groups, of the symbol against ``NOISE`` drawn ones of its group), and their parameters are
-averaged by events; a corpus of under ``EVENTS`` tokens is gone through several times, whole in each
-round.  Scoring
-normalises exactly, in batched products per group.  Word counts cover the whole training corpus and
+Training takes every token of the training texts once, in ``ROUNDS`` parts dealt by a hash of id and text: a round is one
+step on the sum of its part's gradients by noise-contrastive estimation (of the group against the mean
+over all noise groups, of the symbol against ``NOISE`` drawn ones of its group, the same draws for all tasks).  A sum does not
+depend on how many tasks make it, so neither does the model, and the schedule is the same at every size.  Scoring normalises exactly, in batched products per group.  Word counts cover the whole training corpus and
 stay distributed: the ``HEAD`` most frequent words are looked up in place, the rest through a join.
 """
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.llm import batch as B
-from signalloom.llm.common import documents, held_out, store
+from signalloom.llm.common import documents, held_out, small_batches, store
 
 FOLDS, SPREAD, HEAD = 10, 12, 1 << 18
-DIM, BATCH, NOISE, RATE, SEED = 24, 16_384, 32, 0.08, 5
-ROUNDS, LEARNERS, EVENTS, BLOCK = 3, 1024, 1 << 20, 1 << 20
+DIM, BATCH, NOISE, RATE, SEED = 24, 16_384, 32, 0.1, 5
+#: Steps, and the most tasks that sum one step's gradient.
+ROUNDS, LEARNERS = 32, 1024
 WIDTH, CHUNK, BLOCK_ROWS = 96, 1 << 16, 1 << 11
 SMOOTHING = 0.1
 FLUSH = 1 << 22
@@ -179,18 +180,14 @@ class LogBilinear:
             "b": inside,
         }
         self.p = {k: v.astype(np.float32) for k, v in p.items()}
-        self.fresh()
-
-    def fresh(self) -> None:
-        """Forgets the sums of squared gradients."""
-        self.squares = {k: np.ones_like(v) for k, v in self.p.items()}
+        self.squares = {k: np.ones(v.shape) for k, v in self.p.items()}
 
-    def _move(self, k: str, at, g: np.ndarray, rate: float) -> None:
-        self.squares[k][at] += g * g
-        self.p[k][at] -= rate * g / np.sqrt(self.squares[k][at])
+    def draws(self, rng) -> np.ndarray:
+        """One round's noise: NOISE symbols of every group, as numbers from 0 to 1 of their cumulated shares."""
+        return rng.random((len(self.share), NOISE))
 
-    def step(self, before: np.ndarray, anchor: np.ndarray, y: np.ndarray, rng, rate: float = RATE) -> None:
-        """One step on these events: the true group and symbol against groups, and symbols of the group, drawn by frequency.
+    def gradient(self, before: np.ndarray, anchor: np.ndarray, y: np.ndarray, draws: np.ndarray) -> dict[str, np.ndarray]:
+        """Sums of the gradients of these events: the true group and symbol against groups, and symbols of the group, drawn by frequency.
 
         Events are sorted by symbol, so that those of a group, and of a symbol, stand together.
         """
@@ -230,7 +227,7 @@ class LogBilinear:
         one = _runs(at)
         if len(one):
             dq[at[one]], db[at[one]] = _totals(gt[:, None] * x, one), np.add.reduceat(gt, one)
-        draws, noise = rng.random((groups, NOISE)), []
+        noise = []
         for k in np.flatnonzero(np.diff(bounds)):
             i, j = bounds[k], bounds[k + 1]
             z = k * most + np.minimum(np.searchsorted(self.reach_inside[k], draws[k]), most - 1)
@@ -244,25 +241,26 @@ class LogBilinear:
             kinds = _runs(z[by])
             dq[z[by][kinds]] += _totals(gq.take(by, 0), kinds)
             db[z[by][kinds]] += np.add.reduceat(gb.take(by), kinds)
-        self._move("c", slice(None), np.stack((r.T @ dx, s.T @ dx)), rate)
-        places = []
-        for k, (where, size, c) in enumerate(((before, self.size, p["c"][0]), (anchor, self.wide, p["c"][1]))):
+        out = {"c": np.stack((r.T @ dx, s.T @ dx)), "u": du, "d": dd, "q": dq.reshape(p["q"].shape), "b": db.reshape(p["b"].shape)}
+        for k, where, size, c in (("r", before, self.size, p["c"][0]), ("s", anchor, self.wide, p["c"][1])):
             by = _order(where, size)
             kinds = _runs(where[by])
-            places.append(("rs"[k], where[by][kinds], _totals(dx.take(by, 0), kinds) @ c.T))
-        self._move("u", slice(None), du, rate)
-        self._move("d", slice(None), dd, rate)
-        self._move("q", slice(None), dq.reshape(p["q"].shape), rate)
-        self._move("b", slice(None), db.reshape(p["b"].shape), rate)
-        for k, where, grad in places:
-            self._move(k, where, grad, rate)
+            out[k] = np.zeros_like(p[k])
+            out[k][where[by][kinds]] = _totals(dx.take(by, 0), kinds) @ c.T
+        return out
+
+    def move(self, gradient: dict[str, np.ndarray], rate: float = RATE) -> None:
+        """One step, each parameter's by its own sum of squared gradients."""
+        for k, g in gradient.items():
+            self.squares[k] += g * g
+            self.p[k] -= (rate * g / np.sqrt(self.squares[k])).astype(np.float32)
 
     def train(self, code: np.ndarray, n: np.ndarray, steps: int, seed: int = SEED) -> LogBilinear:
         """Steps on BATCH events each, drawn from counts n of (before * wide + anchor) * size + symbol."""
         rng, reach = np.random.default_rng(seed), np.cumsum(n) / np.sum(n)
         for _ in range(steps):
             c = code[np.minimum(np.searchsorted(reach, rng.random(BATCH)), len(code) - 1)]
-            self.step(c // self.size // self.wide, c // self.size % self.wide, c % self.size, rng)
+            self.move(self.gradient(c // self.size // self.wide, c // self.size % self.wide, c % self.size, self.draws(rng)))
         return self
 
     def log10(self, before: np.ndarray, anchor: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -288,16 +286,22 @@ class LogBilinear:
         shape = (self.size, self.wide, self.size)
         return self.log10(*(v.ravel() for v in np.indices(shape))).reshape(shape)
 
-    def flat(self) -> np.ndarray:
-        x = np.concatenate([v.ravel() for v in self.p.values()])
+    def still(self) -> LogBilinear:
+        """The model as a task needs it: without the sums of squared gradients."""
+        out = copy.copy(self)
+        out.squares = None
+        return out
+
+    def flat(self, gradient: dict[str, np.ndarray]) -> np.ndarray:
+        x = np.concatenate([gradient[k].ravel() for k in self.p])
         return np.pad(x, (0, -len(x) % WIDTH)).reshape(-1, WIDTH)
 
-    def put(self, flat: np.ndarray) -> None:
-        at, flat = 0, flat.ravel()
+    def shaped(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        flat, out, at = flat.ravel(), {}, 0
         for k, v in self.p.items():
-            self.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
+            out[k] = flat[at : at + v.size].reshape(v.shape)
             at += v.size
-        self.fresh()
+        return out
 
 
 def _log_share(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -310,48 +314,57 @@ def _log_share(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
     return own - np.log(np.maximum(scores @ np.ones(scores.shape[1], scores.dtype), 1e-37))
 
 
-def learn(texts: DataFrame, symbols: Symbols, model: LogBilinear, passes: int) -> None:
-    """Trains the model on all tokens of the rows (text) once, or at least ``passes`` times: then every round has all texts."""
+def encoded(train: DataFrame, symbols: Symbols) -> DataFrame:
+    """(round, y) of the rows (id, text): each text's symbols as 32-bit numbers, sorted by round in each file, so that a round reads its own pages."""
+
+    def run(batches):
+        for b in batches:
+            for s in B.slices(b.column(1)):
+                h, cls, at = tokens(s)
+                y = symbols.of(h, cls).astype("<u4")
+                off = pa.array((at * 4).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(s.first, s.rows), pa.BinaryArray.from_buffers(pa.binary(), s.rows, [None, off.buffers()[1], pa.py_buffer(y.tobytes())])], names=["round", "y"])
+
+    dealt = small_batches(train).select(F.pmod(F.xxhash64("id", "text"), F.lit(ROUNDS)).cast("int").alias("round"), "text")
+    return store(dealt.mapInArrow(run, "round int, y binary").sortWithinPartitions("round"), "symbols")
 
-    def learner(rate: float, seed: int):
-        def run(batches):
-            rng, held, size, events = np.random.default_rng(seed), [], 0, 0
 
-            def work():
-                before, anchor, y = (np.concatenate(v) for v in zip(*held, strict=True))
-                for _ in range(-(-passes // ROUNDS)):
-                    order = rng.permutation(len(y))
-                    for i in range(0, len(y), BATCH):
-                        at = order[i : i + BATCH]
-                        model.step(before[at], anchor[at], y[at], rng, rate)
+def learn(train: DataFrame, symbols: Symbols, model: LogBilinear) -> None:
+    """Trains the model on all tokens of the rows (id, text): one step a round."""
+    texts = encoded(train, symbols)
+    for k in sorted(r[0] for r in texts.select("round").distinct().collect()):
+        still, draws = model.still(), model.draws(np.random.default_rng(SEED + k))
+
+        def run(batches, still=still, draws=draws):
+            held, size, total = [], 0, None
+
+            def add(total):
+                y = np.concatenate(held)
+                at = np.cumsum([0, *map(len, held)])
+                before, anchor = symbols.contexts(y, at)
+                for i in range(0, len(y), BATCH):
+                    g = still.gradient(before[i : i + BATCH], anchor[i : i + BATCH], y[i : i + BATCH], draws)
+                    total = {n: v.astype(float) for n, v in g.items()} if total is None else {n: total[n] + v for n, v in g.items()}
+                return total
 
             for b in batches:
-                for s in B.slices(b.column(0)):
-                    h, cls, at = tokens(s)
-                    y = symbols.of(h, cls)
-                    held.append((*symbols.contexts(y, at), y))
-                    size += len(y)
-                    events += len(y)
-                    if size > BLOCK:
-                        work()
-                        held, size = [], 0
+                for x in b.column(0):
+                    held.append(np.frombuffer(x.as_buffer(), "<u4").astype(np.int64))
+                    size += len(held[-1])
+                    if size >= BATCH:
+                        total, held, size = add(total), [], 0
             if held:
-                work()
-            if events:
-                x = model.flat()
+                total = add(total)
+            if total is not None:
+                x = still.flat(total)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * WIDTH), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(np.full(len(x), events)), lists], names=["i", "w", "x"])
-
-        return run
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), lists], names=["i", "x"])
 
-    for k in range(ROUNDS):
-        part = (texts if passes > 1 else texts.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k)).coalesce(LEARNERS)
-        found = part.mapInArrow(learner(RATE / (k + 1), SEED + k), "i long, w long, x array<float>")
-        sums = found.groupBy("i").agg(F.sum("w").alias("w"), *[F.sum(F.col("x")[j] * F.col("w").cast("double")).alias(f"x{j}") for j in range(WIDTH)])
-        got = sums.select("i", *[(F.col(f"x{j}") / F.col("w")).cast("float").alias(f"x{j}") for j in range(WIDTH)]).toArrow()
+        parts = texts.where(F.col("round") == k).select("y").coalesce(LEARNERS).mapInArrow(run, "i long, x array<double>")
+        got = parts.groupBy("i").agg(*[F.sum(F.col("x")[j]).alias(f"x{j}") for j in range(WIDTH)]).toArrow()
         if got.num_rows:
             x = np.stack([np.asarray(got.column(f"x{j}")) for j in range(WIDTH)], axis=1)
-            model.put(x[np.argsort(np.asarray(got.column("i")))])
+            model.move(model.shaped(x[np.argsort(np.asarray(got.column("i")))]))
 
 
 SCORED = "uid long, id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<h:long,cls:int,n:int>>"
@@ -405,8 +418,8 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     training rows every word is unseen.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), held_out(id_col, folds).alias("held_out"), F.col(text_col).alias("text"))
-    train = rows.where(~F.col("held_out")).select("text")
-    counts = store(word_counts(train), "counts")
+    train = rows.where(~F.col("held_out")).select("id", "text")
+    counts = store(word_counts(train.select("text")), "counts")
     end = int(END.view(np.int64)[0])
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     head = counts.orderBy(F.desc("n"), "h").limit(HEAD).toArrow()
@@ -423,7 +436,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     ends = total - short_n.sum() - class_n.sum()
     model = LogBilinear(symbols.size, symbols.words + 1, np.concatenate(([ends], short_n, class_n)))
     if total:
-        learn(train, symbols, model, max(1, -(-EVENTS // total)))
+        learn(train, symbols, model)
     part = score_rows(rows.select(F.monotonically_increasing_id().alias("uid"), "*"), symbols, model, head_h.view(B.U64), head_n, inner)
     part = store(part, "scored")
     rest = part.select("uid", F.inline("rest")).join(counts.select("h", F.col("n").alias("c")), "h", "left")

@@ -322,6 +322,14 @@ def test_lm(docs, odd, none):
     assert lm.score_texts(none).count() == 0
 
 
+def test_lm_does_not_depend_on_tasks(docs):
+    """One task or 16: the same model but for the order of sums; no held-out text falls far below its base score."""
+    one, many = ({r["id"]: r for r in lm.score_texts(docs.repartition(n)).collect()} for n in (1, 16))
+    for i, r in one.items():
+        assert abs(r["score"] - many[i]["score"]) < 0.01 * r["n_tokens"] and r["base_score"] == pytest.approx(many[i]["base_score"])
+        assert not r["held_out"] or r["score"] > r["base_score"] - 0.05 * r["n_tokens"] - 2
+
+
 def test_lm_words_follow_their_context(spark):
     r = random.Random(9)
     starts = [r.randrange(300) for _ in range(200)]
