@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from signalloom.functions import text as T
 from signalloom.functions import urls as U
+from signalloom.sources import payloads as P
 
+#: Fixed values of the rule.
 CHALLENGES = ["verify you are human", "just a moment", "access denied", "enable javascript and cookies"]
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
 BINARY = ["application/pdf", "image/", "application/octet-stream"]
@@ -26,13 +28,12 @@ def atom_query(topic: str, window: tuple[str, str] | None = None) -> str:
     return f"({words}) AND submittedDate:[{first}0000 TO {last}2359]"
 
 
-def atom(df: DataFrame, payload: str = "payload") -> DataFrame:
+def atom(df: DataFrame, payload: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
     """Entries of saved Atom feeds as hits; the summary is the text, and an entry without an id goes."""
     kind = "entry array<struct<id:string,title:string,summary:string,published:string>>"
-    rows = df.select(F.explode(F.from_xml(F.col(payload), kind)["entry"]).alias("x"))
+    rows = P.items(df, F.from_xml(F.col(payload), kind)["entry"], keep)
     clean = lambda c: F.trim(F.col(f"x.{c}"))
-    hits = rows.select(clean("id").alias("url"), clean("title").alias("title"), clean("summary").alias("snippet"), F.try_to_timestamp(clean("published")).alias("published_at"))
-    return hits.where("url <> ''").select("*", F.lit(False).alias("date_estimated"), F.lit("arxiv").alias("connector"), F.lit("abstract").alias("text_scope"))
+    return P.hits(rows, "arxiv", F.nullif(clean("id"), F.lit("")), clean("title"), clean("summary"), F.try_to_timestamp(clean("published")), F.lit(False), "abstract", keep)
 
 
 def strip_tags(text: Column) -> Column:
