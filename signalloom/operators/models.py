@@ -11,10 +11,39 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signalloom.operators.tables import cut, numbered
 
-def fold_of(group: Column, folds: int) -> Column:
-    """A fold by the group's digest, so a group is never split and new rows move no others."""
-    return (F.conv(F.substring(F.md5(group.cast("string")), 1, 8), 16, 10).cast("long") % folds).cast("int")
+
+def balanced_folds(df: DataFrame, group: str, label: str | None = None, folds: int = 5) -> DataFrame:
+    """(group, fold): whole groups in folds of nearly equal rows and, given a label of 0 and 1, nearly equal ones.
+
+    Groups of one profile (rows, ones) are alike, so they are dealt round in the order of a digest; what is left of a profile, fewer groups than
+    folds, goes one by one, large profiles first, where it keeps the folds most even.  Only the profiles' counts reach
+    the driver.  Null groups are left out; null labels count as 0.
+    """
+    ones = F.sum(F.coalesce(F.col(label).cast("long"), F.lit(0))) if label else F.lit(0).cast("long")
+    sums = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"), ones.alias("ones"))
+    sums = cut(sums.withColumn("digest", F.md5(F.col("g").cast("string"))))
+    profiles = sums.groupBy("n", "ones").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("n"), F.desc("ones")).collect()
+    total = np.maximum(1.0, np.array([sum((r.n - r.ones) * r.m for r in profiles), sum(r.ones * r.m for r in profiles)], float))
+    load, plan = np.zeros((folds, 2)), []
+    for r in profiles:
+        own = np.array([r.n - r.ones, r.ones]) / total
+        load += own * (r.m // folds)
+        rest = []
+        for _ in range(r.m % folds):
+            free = [k for k in range(folds) if k not in rest]
+            rest.append(min(free, key=lambda k: (float(((load[k] + own) ** 2 - load[k] ** 2).sum()), k)))
+            load[rest[-1]] += own
+        plan.append((r.n, r.ones, r.m // folds * folds, rest))
+    spark = df.sparkSession
+    dealt = spark.createDataFrame(plan, "pn long, pones long, even long, rest array<int>")
+    ranked = numbered(sums, "n", "ones", "digest", "g")
+    starts = ranked.groupBy(F.col("n").alias("sn"), F.col("ones").alias("sones")).agg(F.min("number").alias("start"))
+    placed = ranked.join(starts, (F.col("n") == F.col("sn")) & (F.col("ones") == F.col("sones"))).join(dealt, (F.col("n") == F.col("pn")) & (F.col("ones") == F.col("pones")))
+    place = F.col("number") - F.col("start")
+    fold = F.when(place < F.col("even"), place % folds).otherwise(F.get("rest", (place - F.col("even")).cast("int"))).cast("int")
+    return placed.select(F.col("g").alias(group), fold.alias("fold"))
 
 
 def _sums(df: DataFrame, features: list[str], target: str, fold: str) -> dict[int, np.ndarray]:
@@ -61,9 +90,10 @@ def ridge(df: DataFrame, features: list[str], target: str, group: str, alpha: fl
 
     The rows gain fold, prediction (clipped to low .. high) and baseline, the median target of the other
     folds.  ``deploy`` is true if the model's mean absolute error is below the baseline's.  Rows
-    with a null feature or target are left out; a table without two folds is an error.
+    with a null feature, target or group are left out; a table without two folds is an error.
     """
-    rows = df.na.drop(subset=[*features, target]).withColumn("fold", fold_of(F.col(group), folds))
+    rows = df.na.drop(subset=[*features, target, group])
+    rows = rows.join(balanced_folds(rows, group, folds=folds), group)
     sums = _sums(rows, features, target, "fold")
     if len(sums) < 2:
         raise ValueError("groups fill fewer than two folds")
@@ -96,3 +126,27 @@ def balanced_logistic(df: DataFrame, features: list[str], target: str, c: float
     ready = VectorAssembler(inputCols=features, outputCol="_x").transform(rows.withColumn("_w", weight).withColumn("_y", F.col(target).cast("double")))
     fitted = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-10).fit(ready)
     return {"intercept": float(fitted.intercept), "weights": dict(zip(features, map(float, fitted.coefficients)))}
+
+
+def judge_logistic(df: DataFrame, features: list[str], target: str, group: str, c: float = 1.0, folds: int = 3) -> tuple[DataFrame, dict]:
+    """(out-of-fold rows, report) of balanced_logistic with whole groups held out, folds balanced by rows and by ones.
+
+    The rows gain fold and probability; the report has accuracy, precision, recall and F1 at 0.5, and the rows of each fold.  A fold whose
+    other folds lack a class has no probability.
+    """
+    rows = df.na.drop(subset=[*features, target, group])
+    rows = cut(rows.join(balanced_folds(rows, group, target, folds), group))
+    guess = F.lit(None).cast("double")
+    for k in range(folds):
+        others = rows.where(F.col("fold") != k)
+        if others.select(target).distinct().count() == 2:
+            model = balanced_logistic(others, features, target, c)
+            z = _apply(features, model["intercept"], [model["weights"][f] for f in features])
+            guess = F.when(F.col("fold") == k, 1 / (1 + F.exp(-z))).otherwise(guess)
+    judged = rows.withColumn("probability", guess)
+    yes, one = F.col("probability") >= 0.5, F.col(target) == 1
+    n = judged.where("probability IS NOT NULL").agg(F.count_if(yes & one).alias("tp"), F.count_if(yes & ~one).alias("fp"), F.count_if(~yes & one).alias("fn"), F.count_if(~yes & ~one).alias("tn")).first()
+    share = lambda a, b: a / b if b else 0.0
+    p, r = share(n.tp, n.tp + n.fp), share(n.tp, n.tp + n.fn)
+    sizes = {x["fold"]: x["count"] for x in judged.groupBy("fold").count().collect()}
+    return judged, {"accuracy": share(n.tp + n.tn, sum(n)), "precision": p, "recall": r, "f1": share(2 * p * r, p + r), "rows": sizes}

@@ -6,7 +6,9 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -22,14 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written and read back: its lineage ends, lost executors cost nothing, and joins know its size."""
+def cut(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """df, written and read back (as ``schema``, if given): its lineage ends, lost executors cost nothing, and joins know its size."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
         atexit.register(free)
     _written.append((df.sparkSession, path))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with ``number`` from 0 in the order of the columns; ranges are counted apart, so no task sees all rows."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy(F.col("part").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("p", (F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return ranged.withColumn("place", place).join(before, F.col("part") == F.col("p")).withColumn("number", (F.col("place") + F.col("before")).cast("long")).drop("part", "p", "place", "before")
 
 
 def free() -> None:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from signalloom.operators.models import fold_of
+from signalloom.operators.models import balanced_folds
+from signalloom.operators.tables import cut
 
 WORD = r"(?U)\b\w\w+\b"
 
@@ -43,10 +45,11 @@ def weighted(counts: DataFrame, terms: DataFrame, doc: str) -> DataFrame:
 def fit_text(df: DataFrame, doc: str, text: str, label: str, most: int = 5000, c: float = 1.0) -> dict:
     """Vocabulary with idf and weight, and the intercept, of a logistic model with classes weighted to equal sums.
 
-    Rows without a label are left out; a missing class is an error.  What reaches the driver is the model.
+    Rows without a label are left out; a missing class is an error.  What reaches the driver is the model.  A document's
+    vector holds its own terms only: it is written as the columns of a sparse vector and read as one.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import VectorUDT
 
     rows = df.where(F.col(label).isNotNull()).select(doc, text, F.col(label).cast("double").alias("_y"))
     n, ones = rows.agg(F.count(F.lit(1)), F.sum(F.col("_y").cast("int"))).first()
@@ -56,11 +59,12 @@ def fit_text(df: DataFrame, doc: str, text: str, label: str, most: int = 5000, c
     terms = sorted((r.term, r.idf) for r in vocabulary(counts, doc, n, most).collect())
     table = df.sparkSession.createDataFrame([(t, i, k) for k, (t, i) in enumerate(terms)], "term string, idf double, place int")
     placed = weighted(counts, table.select("term", "idf"), doc).join(F.broadcast(table.select("term", "place")), "term")
-    listed = placed.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct("place", "weight"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(max(len(terms) - 1, 0))), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
+    own = placed.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("m"))
+    none = F.array().cast("array<struct<place:int,weight:double>>")
     weight = F.when(F.col("_y") == 1, n / (2.0 * ones)).otherwise(n / (2.0 * (n - ones)))
-    empty = F.create_map().cast("map<int,double>")
-    ready = rows.select(doc, "_y").join(listed, doc, "left").withColumn("m", F.coalesce("m", empty)).select("_y", weight.alias("_w"), array_to_vector(dense).alias("_x"))
+    listed = rows.select(doc, "_y").join(own, doc, "left").withColumn("m", F.coalesce("m", none))
+    parts = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(len(terms)).alias("size"), F.transform("m", lambda x: x["place"]).alias("indices"), F.transform("m", lambda x: x["weight"]).alias("values"))
+    ready = cut(listed.select("_y", weight.alias("_w"), parts.alias("_x")), StructType().add("_y", "double").add("_w", "double").add("_x", VectorUDT()))
     fitted = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-9).fit(ready)
     return {"intercept": float(fitted.intercept), "terms": {t: (i, float(w)) for (t, i), w in zip(terms, fitted.coefficients)}}
 
@@ -75,8 +79,9 @@ def apply_text(df: DataFrame, model: dict, doc: str, text: str) -> DataFrame:
 
 
 def judge_text(df: DataFrame, doc: str, text: str, label: str, group: str, folds: int = 3, most: int = 5000) -> DataFrame:
-    """(doc, fold, label, probability, predicted, majority): whole groups held out, the vocabulary fitted inside the other folds."""
-    rows = df.where(F.col(label).isNotNull()).withColumn("fold", fold_of(F.col(group), folds))
+    """(doc, fold, label, probability, predicted, majority): whole groups held out in balanced folds, the vocabulary fitted inside the other folds."""
+    rows = df.where(F.col(label).isNotNull() & F.col(group).isNotNull())
+    rows = cut(rows.join(balanced_folds(rows, group, label, folds), group))
     out = None
     for k in range(folds):
         rest, own = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from signalloom.functions import terms
 from signalloom.functions import vocabulary as V
 from signalloom.operators import candidates as C
+from signalloom.operators import language as N
 from signalloom.operators import presentation as P
 from signalloom.operators import textmodel as M
 from signalloom.sources import answers as W
@@ -227,3 +228,17 @@ def run_lists(spark, d):
     )
     results = parts.where(n % 25 == 0).orderBy(n).limit(6).select(n.alias("candidate_id"), n.alias("place"))
     return P.run_lists(rated, results)
+
+
+# language of texts, learned from four fifths of them
+_gram = r"""g AS (SELECT doc_id, lang, h, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS gram FROM (SELECT doc_id, lang, doc_id % 5 = 0 AS h, length(text) AS size, regexp_replace(lower(substr(text, 1, 3000)), '[^\p{L}]+', ' ', 'g') AS t FROM documents) WHERE length(t) >= 3),
+ n AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL), c AS (SELECT lang, gram, count(*) AS c FROM g WHERE NOT h AND lang IS NOT NULL GROUP BY ALL),
+ l AS (SELECT lang, ln(0.5 / (sum(c) + 0.5 * ((SELECT count(DISTINCT gram) FROM c) + 1))) AS least FROM c GROUP BY lang),
+ s AS (SELECT n.doc_id, l.lang, round(sum(n.n) * any_value(l.least) + coalesce(sum(n.n * ln((c.c + 0.5) / 0.5)), 0), 6) AS score FROM n CROSS JOIN l LEFT JOIN c ON c.lang = l.lang AND c.gram = n.gram GROUP BY n.doc_id, l.lang)"""
+
+
+@query("language_model", f"WITH {_gram} SELECT d.doc_id, d.lang, d.doc_id % 5 = 0 AS held_out, CASE WHEN length(text) >= 20 THEN p.language END AS language FROM documents d LEFT JOIN (SELECT doc_id, arg_min(lang, (-score, lang)) AS language FROM s GROUP BY doc_id) p USING (doc_id)")
+def language_model(spark, d):
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "text", (F.col("doc_id") % 5 == 0).alias("held_out"))
+    found = N.detect(rows, "doc_id", "text", N.train(rows.where("NOT held_out"), "doc_id", "text", "lang"))
+    return rows.select("doc_id", "lang", "held_out").join(found.select("doc_id", "language"), "doc_id")

@@ -170,3 +170,32 @@ def test_logistic(spark):
         p = 1 / (1 + np.exp(-z @ w))
         w -= np.linalg.solve((z.T * (s * p * (1 - p))) @ z + np.diag([1, 1, 0]), z.T @ (s * (p - t)) + [w[0], w[1], 0])
     assert np.allclose([*got["weights"].values(), got["intercept"]], w, atol=1e-4)
+
+
+def test_balanced_folds(spark):
+    """Whole groups; rows and ones within one group of even; the same folds whatever the partitions."""
+    r = random.Random(8)
+    rows = [(f"g{g}", int(r.random() < 0.2 + 0.5 * (g % 3 == 0))) for g in range(90) for _ in range(r.choice([1, 1, 2, 3, 8, 20]))] + [(None, 1)]
+    df = spark.createDataFrame(rows, "g string, y int")
+    found = {x.g: x.fold for x in M.balanced_folds(df, "g", "y", 4).collect()}
+    assert found == {x.g: x.fold for x in M.balanced_folds(df.repartition(7), "g", "y", 4).collect()} and len(found) == 90
+    sizes = [[sum(found[g] == k and y == want for g, y in rows if g) for k in range(4)] for want in (0, 1)]
+    most = [max(sum(h == g and y == want for h, y in rows) for g in found) for want in (0, 1)]
+    assert all(max(s) - min(s) <= m for s, m in zip(sizes, most, strict=True))
+    assert M.balanced_folds(df.limit(0), "g").count() == 0
+
+
+def test_judge_logistic(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(200, 2))
+    t = (x @ [2.0, -1.0] + 0.3 * r.normal(size=200) > 0).astype(int)
+    df = spark.createDataFrame([(i, i % 40, *map(float, x[i]), int(t[i])) for i in range(200)], "i int, g int, a double, b double, t int")
+    judged, report = M.judge_logistic(df, ["a", "b"], "t", "g")
+    rows = {q.i: q for q in judged.collect()}
+    assert len(rows) == 200 and report["accuracy"] > 0.85 and set(report["rows"]) == {0, 1, 2}
+    k = rows[0].fold
+    model = M.balanced_logistic(df.where(~F.col("g").isin([q.g for q in rows.values() if q.fold == k])), ["a", "b"], "t")
+    z = model["intercept"] + model["weights"]["a"] * x[0, 0] + model["weights"]["b"] * x[0, 1]
+    assert abs(rows[0].probability - 1 / (1 + np.exp(-z))) < 1e-6
+    with pytest.raises(ValueError):
+        M.balanced_logistic(df.where("t = 1"), ["a"], "t")
