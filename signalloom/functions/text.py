@@ -92,8 +92,8 @@ def query_variants(topic: Column, most: int = 4) -> Column:
 
 
 def complete_date(text: Column) -> Column:
-    """A date only where year, month and day are all given."""
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
+    """A date only where year, month and day are all given, alone or before a time."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}($|[T ])"), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
 
 
 def excerpt(text: Column, title: Column, limit: int = 1500) -> Column:

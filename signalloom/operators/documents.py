@@ -101,13 +101,6 @@ def adaptive_seeds(candidates: DataFrame, used: DataFrame, limit: int) -> DataFr
     return candidates.join(used, "candidate_id", "left_anti").orderBy(F.desc("relevance_score"), "candidate_id").limit(limit)
 
 
-def band_pairs(df: DataFrame, doc: str, at: str, days: int) -> DataFrame:
-    """Pairs (a, b), a < b, of dates at most ``days`` apart: an equi-join on buckets, no cross join."""
-    day = df.select(F.col(doc).alias("a"), F.col(at).alias("x"), F.floor(F.datediff(at, F.lit("1970-01-01")) / days).alias("k"))
-    other = day.select(F.col("a").alias("b"), F.col("x").alias("y"), F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"))
-    return day.join(other, "k").where((F.col("a") < F.col("b")) & (F.abs(F.datediff("x", "y")) <= days)).select("a", "b")
-
-
 def within_days(pairs: DataFrame, df: DataFrame, doc: str, at: str, days: int) -> DataFrame:
     """The pairs (a, b) whose dates are at most ``days`` apart; an unknown date passes."""
     one, two = (df.select(F.col(doc).alias(c), F.col(at).alias(f"at_{c}")) for c in "ab")

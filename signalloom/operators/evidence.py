@@ -50,6 +50,7 @@ def relevance(f: DataFrame, as_of: str) -> DataFrame:
     """Add score, verdict and is_actual; weights are added in the rules' order, so sums agree at the thresholds."""
     c = F.col
     age = F.datediff(F.lit(as_of).cast("date"), c("latest_publication"))
+    # Fixed values of the rule: weights, thresholds and ages.
     score = F.lit(0.5) + F.when(c("confirmations") == 0, -0.35).when(c("confirmations") == 1, 0.10).otherwise(0.30)
     for weight, rule in (
         (-0.25, c("lowest_trust_only")),

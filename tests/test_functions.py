@@ -122,3 +122,21 @@ def test_unknown_dates_pass(spark):
     docs = spark.sql("SELECT * FROM VALUES (1, date'2026-01-01'), (2, date'2026-01-08'), (3, date'2026-03-01'), (4, null) AS t(doc, at)")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4)], "a int, b int")
     assert {(x.a, x.b) for x in D.within_days(pairs, docs, "doc", "at", 10).collect()} == {(1, 2), (1, 4)}
+
+
+def test_complete_date(spark):
+    rows = [("2026-01-02", True), ("2026-01-02T03:04", True), ("2026-01-02 03:04", True), ("2026-01-02garbage", False), ("2026-01", False), ("2026-13-40", False), (None, False), ("", False)]
+    got = spark.createDataFrame(rows, "t string, ok boolean").select("ok", T.complete_date(F.col("t")).alias("d")).collect()
+    assert all((r["d"] is not None) == r["ok"] and (not r["ok"] or str(r["d"]) == "2026-01-02") for r in got)
+
+
+def test_token_features_of_a_long_text(spark):
+    """20,000 words: the words are found once, not once a word."""
+    import time
+
+    from signalloom.operators.evaluation import token_features
+
+    df = spark.createDataFrame([(" ".join(f"w{i}" for i in range(20_000)), None)], "t string, d string")
+    df.select(F.size(token_features(F.col("d"), F.col("d")))).collect()
+    began = time.time()
+    assert df.select(F.size(token_features(F.col("t"), F.col("d"))).alias("n")).first()["n"] == 20_001 and time.time() - began < 30
