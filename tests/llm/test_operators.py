@@ -485,3 +485,23 @@ def test_pipeline_stages(spark):
         assert left[i].split()[: len(t.split())] == t.split()
     assert all(abs(taken[x] - n) <= 1 for x, n in brute.targets(dict(size)).items())
     assert sorted(texts(encode(spark, mixed, DIR))) == sorted(texts(mixed))
+
+
+def test_pipeline_odd_rows(spark):
+    """Nulls in every column, empty, repeated and clashing rows go through each stage; so does an empty table."""
+    import corpus_pipeline
+
+    kind = COLUMNS + ", n_chars long"
+    r = random.Random(12)
+    long_text = prose(r)
+    rows = [(1, None, None, None, None), (None, long_text, None, None, None), (2, "", "en", "a", 0), (3, long_text, "en", "a", 1), (3, long_text, "en", "a", 1), (4, " \n ", "en", None, 3), (5, "word " * 2000, "en", "b", 10_000)]
+    odd = spark.createDataFrame(rows, kind).withColumns({c: F.lit(1) for c in ("original", "kept_text", "key", "ids", "node")})
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.store(stage(spark, odd, DIR), "test")
+        assert name == "bpe" or out.columns == list(corpus_pipeline.COLUMNS)
+        assert out.count() == {"quality rules": 3, "near dedup": 3, "substring dedup": 7, "bpe": 7}.get(name, out.count()), name
+        assert stage(spark, odd.limit(0), DIR).count() == 0
+    docs = odd
+    for _, stage in corpus_pipeline.STAGES:
+        docs = common.store(stage(spark, docs, DIR), "test")
+    assert {x["text"] for x in docs.select("text").collect()} <= {long_text}
