@@ -35,8 +35,8 @@ from signalloom.llm.common import documents, held_out, small_batches, store
 
 FOLDS, SPREAD, HEAD = 10, 12, 1 << 18
 DIM, BATCH, NOISE, RATE, SEED = 24, 16_384, 32, 0.1, 5
-#: Steps, and the most tasks that sum one step's gradient.
-ROUNDS, LEARNERS = 32, 1024
+#: Steps; tokens a task of a step, and the most tasks: each sends one gradient.
+ROUNDS, SHARE, LEARNERS = 32, 1 << 20, 1024
 WIDTH, CHUNK, BLOCK_ROWS = 96, 1 << 16, 1 << 11
 SMOOTHING = 0.1
 FLUSH = 1 << 22
@@ -329,8 +329,9 @@ def encoded(train: DataFrame, symbols: Symbols) -> DataFrame:
     return store(dealt.mapInArrow(run, "round int, y binary").sortWithinPartitions("round"), "symbols")
 
 
-def learn(train: DataFrame, symbols: Symbols, model: LogBilinear) -> None:
-    """Trains the model on all tokens of the rows (id, text): one step a round."""
+def learn(train: DataFrame, symbols: Symbols, model: LogBilinear, total: int) -> None:
+    """Trains the model on all ``total`` tokens of the rows (id, text): one step a round."""
+    tasks = min(LEARNERS, max(1, -(-total // (ROUNDS * SHARE))))
     texts = encoded(train, symbols)
     for k in sorted(r[0] for r in texts.select("round").distinct().collect()):
         still, draws = model.still(), model.draws(np.random.default_rng(SEED + k))
@@ -357,11 +358,11 @@ def learn(train: DataFrame, symbols: Symbols, model: LogBilinear) -> None:
                 total = add(total)
             if total is not None:
                 x = still.flat(total)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * WIDTH), pa.array(x.ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * WIDTH), pa.array(x.ravel().astype(np.float32)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), lists], names=["i", "x"])
 
-        parts = texts.where(F.col("round") == k).select("y").coalesce(LEARNERS).mapInArrow(run, "i long, x array<double>")
-        got = parts.groupBy("i").agg(*[F.sum(F.col("x")[j]).alias(f"x{j}") for j in range(WIDTH)]).toArrow()
+        parts = texts.where(F.col("round") == k).select("y").coalesce(tasks).mapInArrow(run, "i long, x array<float>")
+        got = parts.groupBy("i").agg(*[F.sum(F.col("x")[j].cast("double")).alias(f"x{j}") for j in range(WIDTH)]).toArrow()
         if got.num_rows:
             x = np.stack([np.asarray(got.column(f"x{j}")) for j in range(WIDTH)], axis=1)
             model.move(model.shaped(x[np.argsort(np.asarray(got.column("i")))]))
@@ -436,7 +437,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     ends = total - short_n.sum() - class_n.sum()
     model = LogBilinear(symbols.size, symbols.words + 1, np.concatenate(([ends], short_n, class_n)))
     if total:
-        learn(train, symbols, model)
+        learn(train, symbols, model, total)
     part = score_rows(rows.select(F.monotonically_increasing_id().alias("uid"), "*"), symbols, model, head_h.view(B.U64), head_n, inner)
     part = store(part, "scored")
     rest = part.select("uid", F.inline("rest")).join(counts.select("h", F.col("n").alias("c")), "h", "left")
