@@ -49,6 +49,13 @@ def test_sentences_and_future(spark):
     assert one(spark, "It will launch", T.future_looking) and not one(spark, "willow trees", T.future_looking)
 
 
+def test_sentences_keep_digits_and_lose_spaces(spark):
+    text = "\xa0  0997 is where the text begins.\n1 comes second. 1 Out of 31 pieces is 1.  The last sentence ends in 2\u3000 "
+    assert one(spark, text, T.sentences) == ["0997 is where the text begins.\n1 comes second. 1 Out of 31 pieces is 1.", "The last sentence ends in 2"]
+    assert one(spark, "This one is whole.\x0bNo cut at that sign. \n", T.sentences) == ["This one is whole.\x0bNo cut at that sign. \n"]
+    assert one(spark, None, T.sentences) is None
+
+
 def test_query_variants(spark):
     assert one(spark, " swarm ", T.query_variants) == ["swarm", "swarm prototype", "swarm pilot", "swarm preprint"]
     assert one(spark, "рой", T.query_variants)[1] == "рой прототип"
