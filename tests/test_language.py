@@ -26,3 +26,10 @@ def test_odd_rows(spark):
     got = {r["k"]: (r["language"], r["confidence"]) for r in N.detect(spark.createDataFrame(rows, "k int, t string, h string"), "k", "t", model, F.col("h")).collect()}
     assert got[1] == ("en", None) and got[2] == ("de", None) and got[3] == got[4] == got[5] == (None, None) and got[6] == ("ru", 1.0) and got[7][0] in ("de", "en")
     assert N.detect(known.limit(0), "k", "t", model).count() == 0
+
+
+def test_sequences_are_found_in_one_pass(spark):
+    texts = ["Ab1cd\U0001d400\U0001d401é", "a", "", None, "xx\nyy"]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", N.grams(F.col("t")).alias("g"), N.letters(F.col("t")).alias("l")).orderBy("k").collect()
+    for r, t in zip(got, texts, strict=True):
+        assert r["g"] == (None if t is None else [r["l"][i : i + 3] for i in range(len(r["l"]) - 2)])
