@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from signalloom.functions import text as T
 from signalloom.operators.models import balanced_folds
 from signalloom.operators.tables import cut
 
@@ -32,6 +33,30 @@ def vocabulary(counts: DataFrame, doc: str, documents: int, most: int = 5000) ->
     return kept.select("term", (F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
+def frequent_terms(df: DataFrame, text: str, documents: int, most: int = 5000, buckets: int = 1 << 18) -> DataFrame:
+    """vocabulary() of the rows (text), one a document, without a shuffle of every document's terms.
+
+    Totals of hash buckets come first: no term of a bucket exceeds its bucket's.  The ``most`` commonest single words alone set a
+    total that the last term of the vocabulary reaches at least, so terms of smaller buckets are gone before they
+    are counted.  The counts of the others are exact.
+    """
+    # Sorted, equal terms stand together: the first of them counts the document.
+    once = T.once(F.array_sort(word_pairs(F.col(text))), lambda w: F.transform(w, lambda x, i: F.struct(x.alias("term"), F.when((i == 0) | (F.get(w, i - 1) != x), 1).otherwise(0).alias("new"))))
+    rows = df.select(F.inline(once)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    sizes = cut(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")))
+    words = rows.where(~F.col("term").contains(" ")).groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+    least = words.orderBy(F.desc("total")).limit(most).agg(F.count(F.lit(1)), F.min("total")).first()
+    full = sizes.where(F.col("size") >= (least[1] if least[0] == most else 0)).select("bucket")
+    kept = rows.join(F.broadcast(full), "bucket").groupBy("term").agg(F.count(F.lit(1)).alias("total"), F.sum("new").alias("df")).orderBy(F.desc("total"), "term").limit(most)
+    return kept.select("term", (F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+
+
+def known_counts(df: DataFrame, doc: str, text: str, terms: DataFrame) -> DataFrame:
+    """term_counts() of the vocabulary's terms only: others are gone before the shuffle.  ``doc`` is unique or its rows count as one document."""
+    each = df.select(doc, F.explode(word_pairs(F.col(text))).alias("term")).join(F.broadcast(terms.select("term")), "term", "left_semi")
+    return each.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("n"))
+
+
 def weighted(counts: DataFrame, terms: DataFrame, doc: str) -> DataFrame:
     """(doc, term, weight): (1 + ln n) idf, each document brought to length 1; documents without a known term have no row.
 
