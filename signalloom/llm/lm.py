@@ -35,8 +35,10 @@ from signalloom.llm.common import documents, held_out, small_batches, store
 
 FOLDS, SPREAD, HEAD = 10, 12, 1 << 18
 DIM, BATCH, NOISE, RATE, SEED = 24, 16_384, 32, 0.1, 5
-#: Steps; tokens a task of a step, and the most tasks: each sends one gradient.
-ROUNDS, SHARE, LEARNERS = 32, 1 << 20, 1024
+#: Steps; tokens a task of a step at least, in all and for each parameter, and the most tasks: each sends one gradient.
+ROUNDS, SHARE, SHARE_EACH, LEARNERS = 32, 1 << 20, 2, 1024
+#: Events whose gradient a task adds up at a time.
+HELD = 1 << 16
 WIDTH, CHUNK, BLOCK_ROWS = 96, 1 << 16, 1 << 11
 SMOOTHING = 0.1
 FLUSH = 1 << 22
@@ -329,9 +331,14 @@ def encoded(train: DataFrame, symbols: Symbols) -> DataFrame:
     return store(dealt.mapInArrow(run, "round int, y binary").sortWithinPartitions("round"), "symbols")
 
 
+def learners(total: int, parameters: int) -> int:
+    """Tasks of a step: each sums over enough tokens that all gradients of a step stay in proportion to its tokens, however large the model is."""
+    return min(LEARNERS, max(1, -(-total // (ROUNDS * max(SHARE, SHARE_EACH * parameters)))))
+
+
 def learn(train: DataFrame, symbols: Symbols, model: LogBilinear, total: int) -> None:
     """Trains the model on all ``total`` tokens of the rows (id, text): one step a round."""
-    tasks = min(LEARNERS, max(1, -(-total // (ROUNDS * SHARE))))
+    tasks = learners(total, sum(v.size for v in model.p.values()))
     texts = encoded(train, symbols)
     for k in sorted(r[0] for r in texts.select("round").distinct().collect()):
         still, draws = model.still(), model.draws(np.random.default_rng(SEED + k))
@@ -343,8 +350,8 @@ def learn(train: DataFrame, symbols: Symbols, model: LogBilinear, total: int) ->
                 y = np.concatenate(held)
                 at = np.cumsum([0, *map(len, held)])
                 before, anchor = symbols.contexts(y, at)
-                for i in range(0, len(y), BATCH):
-                    g = still.gradient(before[i : i + BATCH], anchor[i : i + BATCH], y[i : i + BATCH], draws)
+                for i in range(0, len(y), HELD):
+                    g = still.gradient(before[i : i + HELD], anchor[i : i + HELD], y[i : i + HELD], draws)
                     total = {n: v.astype(float) for n, v in g.items()} if total is None else {n: total[n] + v for n, v in g.items()}
                 return total
 
@@ -352,7 +359,7 @@ def learn(train: DataFrame, symbols: Symbols, model: LogBilinear, total: int) ->
                 for x in b.column(0):
                     held.append(np.frombuffer(x.as_buffer(), "<u4").astype(np.int64))
                     size += len(held[-1])
-                    if size >= BATCH:
+                    if size >= HELD:
                         total, held, size = add(total), [], 0
             if held:
                 total = add(total)

@@ -330,6 +330,14 @@ def test_lm_does_not_depend_on_tasks(docs):
         assert not r["held_out"] or r["score"] > r["base_score"] - 0.05 * r["n_tokens"] - 2
 
 
+def test_lm_gradients_stay_in_proportion_to_tokens():
+    """Four bytes a parameter from every task and step: at most two for a token, but for one task a step, at any size of the model."""
+    for total, parameters in ((10**6, 10**5), (10**8, 9 * 10**5), (6 * 10**9, 7 * 10**6), (10**11, 3 * 10**7)):
+        tasks = lm.learners(total, parameters)
+        assert tasks == 1 or 4 * parameters * (tasks - 1) * lm.ROUNDS <= 2 * total, (total, parameters, tasks)
+    assert lm.learners(10**8, 9 * 10**5) > 1
+
+
 def test_lm_words_follow_their_context(spark):
     r = random.Random(9)
     starts = [r.randrange(300) for _ in range(200)]
