@@ -37,6 +37,8 @@ FOLDS, SPREAD, HEAD = 10, 12, 1 << 18
 DIM, BATCH, NOISE, RATE, SEED = 24, 16_384, 32, 0.1, 5
 #: Steps; tokens a task of a step at least, in all and for each parameter, and the most tasks: each sends one gradient.
 ROUNDS, SHARE, SHARE_EACH, LEARNERS = 32, 1 << 20, 2, 1024
+#: Gradients that the driver takes as they are, each as large as the model that it holds anyway; more are summed in a shuffle first.
+DIRECT = 4
 #: Events whose gradient a task adds up at a time.
 HELD = 1 << 16
 WIDTH, CHUNK, BLOCK_ROWS = 96, 1 << 16, 1 << 11
@@ -336,6 +338,22 @@ def learners(total: int, parameters: int) -> int:
     return min(LEARNERS, max(1, -(-total // (ROUNDS * max(SHARE, SHARE_EACH * parameters)))))
 
 
+def summed(parts: DataFrame, tasks: int, direct: int = DIRECT) -> np.ndarray | None:
+    """The sum over i of the rows (i, x) that ``tasks`` tasks give, each an i once at most and single precision; null without rows.
+
+    Sums are double; what is shuffled is single, as a task's own sums before the shuffle would only widen its rows.
+    """
+    if tasks > direct:
+        parts = parts.repartition("i").groupBy("i").agg(F.array(*[F.sum(F.col("x")[j].cast("double")) for j in range(WIDTH)]).alias("x"))
+    got = parts.toArrow()
+    if not got.num_rows:
+        return None
+    at = np.asarray(got.column("i"))
+    out = np.zeros((int(at.max()) + 1, WIDTH))
+    np.add.at(out, at, np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in got.column("x").chunks]).reshape(-1, WIDTH))
+    return out
+
+
 def learn(train: DataFrame, symbols: Symbols, model: LogBilinear, total: int) -> None:
     """Trains the model on all ``total`` tokens of the rows (id, text): one step a round."""
     tasks = learners(total, sum(v.size for v in model.p.values()))
@@ -369,10 +387,9 @@ def learn(train: DataFrame, symbols: Symbols, model: LogBilinear, total: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), lists], names=["i", "x"])
 
         parts = texts.where(F.col("round") == k).select("y").coalesce(tasks).mapInArrow(run, "i long, x array<float>")
-        got = parts.groupBy("i").agg(*[F.sum(F.col("x")[j].cast("double")).alias(f"x{j}") for j in range(WIDTH)]).toArrow()
-        if got.num_rows:
-            x = np.stack([np.asarray(got.column(f"x{j}")) for j in range(WIDTH)], axis=1)
-            model.move(model.shaped(x[np.argsort(np.asarray(got.column("i")))]))
+        x = summed(parts, tasks)
+        if x is not None:
+            model.move(model.shaped(x))
 
 
 SCORED = "uid long, id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<h:long,cls:int,n:int>>"
