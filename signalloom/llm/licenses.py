@@ -51,8 +51,9 @@ TEMPLATES = [
 CONTAINMENT, SPREAD = 0.9, 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What GAP leaves, said by its members, the commonest first: a negated class tries every range for every letter, which takes ten times as long.
+ANY_WORD = "[a-zA-Z0-9\\x80-\U0010FFFF]+"
+WORD = "[a-z0-9\\x80-\U0010FFFF]+"
 
 
 def word_list(text):

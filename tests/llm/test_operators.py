@@ -250,6 +250,18 @@ def test_length_pieces_match_the_library(monkeypatch):
         assert token_counts.encoded_length(e, t) == len(e.encode_ordinary(t))
 
 
+def test_license_words(spark):
+    """Words by the classes' members are those that the negated classes give, at code points of every kind."""
+    negated = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    chars = [chr(c) for c in (*range(1024), 0x2028, 0xD7FF, 0xE000, 0xFFFF, 0x10000, 0x1F600, 0x10FFFF)]
+    rows = spark.createDataFrame([(f"a{c}b{c}{c}C{c}",) for c in chars], "text string")
+    assert rows.where(F.regexp_count("text", F.lit(negated)) != F.regexp_count("text", F.lit(licenses.ANY_WORD))).count() == 0
+    lower = negated.replace("\\x40\\x5B-", "")
+    assert rows.where(~licenses.word_list(F.col("text")).eqNullSafe(F.regexp_extract_all(F.translate("text", licenses.UPPER, licenses.LOWER), F.lit(lower), F.lit(0)))).count() == 0
+    # A negated class tries all of its ranges for every letter of a word.
+    assert "[^" not in licenses.ANY_WORD + licenses.WORD
+
+
 def test_licenses(docs, odd, none):
     for df in (docs, odd):
         got = licenses.scan_licenses(df).select("id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
