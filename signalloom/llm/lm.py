@@ -40,8 +40,8 @@ ROUNDS, SHARE, SHARE_EACH, LEARNERS = 32, 1 << 20, 2, 1024
 #: Gradients that the driver takes as they are, each as large as the model that it holds anyway; more are summed in a shuffle first.
 DIRECT = 4
 #: Events whose gradient a task adds up at a time.
-HELD = 1 << 16
-WIDTH, CHUNK, BLOCK_ROWS = 96, 1 << 16, 1 << 11
+HELD = 1 << 18
+WIDTH, CHUNK, BLOCK_ROWS = 96, 1 << 18, 1 << 11
 SMOOTHING = 0.1
 FLUSH = 1 << 22
 END = np.array([0x5DEECE66D], B.U64)
@@ -135,6 +135,22 @@ def _order(at: np.ndarray, size: int) -> np.ndarray:
     return np.argsort(at.astype(np.uint16) if size <= 1 << 16 else at, kind="stable")
 
 
+def _distinct(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers of code in order, each row's place among them, and how often each stands (single precision)."""
+    bits = len(code).bit_length()
+    if int(code.max(initial=0)) >> 63 - bits:
+        kinds, of, n = np.unique(code, return_inverse=True, return_counts=True)
+        return kinds, of, n.astype(np.float32)
+    both = np.sort(code << bits | np.arange(len(code)))  # plain numbers sort many times faster than places by them
+    by = both & (1 << bits) - 1
+    both >>= bits
+    begin = _runs(both)
+    n = np.diff(begin, append=len(code))
+    of = np.empty(len(code), np.int64)
+    of[by] = np.repeat(np.arange(len(begin)), n)
+    return both[begin], of, n.astype(np.float32)
+
+
 def _runs(at: np.ndarray) -> np.ndarray:
     """Where the runs of equal numbers begin in a sorted array."""
     return np.flatnonzero(np.diff(at, prepend=-1))
@@ -145,6 +161,22 @@ def _totals(v: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.add.reduceat(np.ascontiguousarray(v.T), begin, axis=1).T
 
 
+def _add(out: np.ndarray, where: np.ndarray, v: np.ndarray, singly: int = 4) -> None:
+    """Adds v's rows to out's rows ``where``: the first of each at once, then the second, up to ``singly``, and sums of the others."""
+    by = _order(where, len(out))
+    where = where[by]
+    begin = _runs(where)
+    n = np.diff(begin, append=len(where))
+    for k in range(singly):
+        some = begin[n > k]
+        out[where[some]] += v.take(by[some + k], 0)
+    rest = np.arange(len(where)) - np.repeat(begin, n) >= singly
+    if rest.any():
+        by, where = by[rest], where[rest]
+        begin = _runs(where)
+        out[where[begin]] += _totals(v.take(by, 0), begin)
+
+
 def _logistic(scores: np.ndarray) -> np.ndarray:
     """1 / (1 + exp(-scores)), in place; 0 where exp has no number."""
     np.negative(scores, out=scores)
@@ -193,64 +225,74 @@ class LogBilinear:
     def gradient(self, before: np.ndarray, anchor: np.ndarray, y: np.ndarray, draws: np.ndarray) -> dict[str, np.ndarray]:
         """Sums of the gradients of these events: the true group and symbol against groups, and symbols of the group, drawn by frequency.
 
+        What depends on the context alone, or on it and the group, is worked out once for all its events and counts as often as they stand.
         Events are sorted by symbol, so that those of a group, and of a symbol, stand together.
         """
         p, (groups, most) = self.p, self.share.shape
-        place = self.group * most + self.slot
-        order = _order(place[y], groups * most)
-        before, anchor, at = before[order], anchor[order], place[y[order]]
-        g = at // most
+        place = (self.group * most + self.slot)[y]
+        context, of, n = _distinct(before * self.wide + anchor)
+        before, anchor = context // self.wide, context % self.wide
         r, s = p["r"].take(before, 0), p["s"].take(anchor, 0)
         x = r @ p["c"][0] + s @ p["c"][1]
         q, b = p["q"].reshape(groups * most, -1), p["b"].reshape(-1)
+        pair, _, n_pair = _distinct(place // most * len(context) + of)
+        g, c = pair // len(context), pair % len(context)
+        x_pair = x.take(c, 0)
         bounds = np.searchsorted(g, np.arange(groups + 1))
         # The group against NOISE groups, whose mean over all draws is taken: there are few groups.
         offset = p["d"] - self.log_noise
         own = p["u"].take(g, 0)
-        gt = -_logistic(-(np.einsum("ij,ij->i", x, own) + offset.take(g)))
+        gt = -_logistic(-(np.einsum("ij,ij->i", x_pair, own) + offset.take(g))) * n_pair
         own *= gt[:, None]
-        dx, du, dd = own, np.zeros_like(p["u"]), np.zeros_like(p["d"])
-        some = _runs(g)
-        if len(some):
-            du[g[some]], dd[g[some]] = _totals(gt[:, None] * x, some), np.add.reduceat(gt, some)
+        dx, d_pair, du, dd = np.empty_like(x), own, np.zeros_like(p["u"]), np.zeros_like(p["d"])
+        for k in np.flatnonzero(np.diff(bounds)):
+            rows = slice(bounds[k], bounds[k + 1])
+            du[k], dd[k] = gt[rows] @ x_pair[rows], gt[rows].sum()
         drawn = np.exp(self.log_noise)
         for i in range(0, len(x), BLOCK_ROWS):
             rows = slice(i, i + BLOCK_ROWS)
             gf = _logistic(x[rows] @ p["u"].T + offset)
             gf *= drawn
-            dx[rows] += gf @ p["u"]
+            gf *= n[rows, None]
+            dx[rows] = gf @ p["u"]
             du += gf.T @ x[rows]
             dd += gf.sum(0)
         # The symbol against noise symbols of its group.
         inner = b - self.log_noise_inside.reshape(-1)
-        own = q.take(at, 0)
-        gt = -_logistic(-(np.einsum("ij,ij->i", x, own) + inner.take(at)))
+        event, _, n_event = _distinct(place * len(context) + of)
+        at, c_event = event // len(context), event % len(context)
+        x_event, own = x.take(c_event, 0), q.take(at, 0)
+        gt = -_logistic(-(np.einsum("ij,ij->i", x_event, own) + inner.take(at))) * n_event
         own *= gt[:, None]
-        dx += own
+        x_event *= gt[:, None]
         dq, db = np.zeros_like(q), np.zeros_like(b)
         one = _runs(at)
         if len(one):
-            dq[at[one]], db[at[one]] = _totals(gt[:, None] * x, one), np.add.reduceat(gt, one)
+            dq[at[one]], db[at[one]] = _totals(x_event, one), np.add.reduceat(gt, one)
         noise = []
         for k in np.flatnonzero(np.diff(bounds)):
             i, j = bounds[k], bounds[k + 1]
             z = k * most + np.minimum(np.searchsorted(self.reach_inside[k], draws[k]), most - 1)
             qz = q.take(z, 0)
-            gf = _logistic(x[i:j] @ qz.T + inner[z])
-            dx[i:j] += gf @ qz
-            noise.append((z, gf.T @ x[i:j], gf.sum(0)))
+            gf = _logistic(x_pair[i:j] @ qz.T + inner[z])
+            gf *= n_pair[i:j, None]
+            d_pair[i:j] += gf @ qz
+            noise.append((z, gf.T @ x_pair[i:j], gf.sum(0)))
         if noise:
             z, gq, gb = (np.concatenate(v) for v in zip(*noise, strict=True))
             by = _order(z, groups * most)
             kinds = _runs(z[by])
             dq[z[by][kinds]] += _totals(gq.take(by, 0), kinds)
             db[z[by][kinds]] += np.add.reduceat(gb.take(by), kinds)
+        _add(dx, c, d_pair)
+        _add(dx, c_event, own)
         out = {"c": np.stack((r.T @ dx, s.T @ dx)), "u": du, "d": dd, "q": dq.reshape(p["q"].shape), "b": db.reshape(p["b"].shape)}
-        for k, where, size, c in (("r", before, self.size, p["c"][0]), ("s", anchor, self.wide, p["c"][1])):
+        for k, where, size, m in (("r", before, self.size, p["c"][0]), ("s", anchor, self.wide, p["c"][1])):
             by = _order(where, size)
             kinds = _runs(where[by])
             out[k] = np.zeros_like(p[k])
-            out[k][where[by][kinds]] = _totals(dx.take(by, 0), kinds) @ c.T
+            if len(kinds):
+                out[k][where[by][kinds]] = _totals(dx.take(by, 0), kinds) @ m.T
         return out
 
     def move(self, gradient: dict[str, np.ndarray], rate: float = RATE) -> None:
@@ -272,17 +314,22 @@ class LogBilinear:
         out = np.empty(len(y))
         groups, most = self.share.shape
         place = self.group * most + self.slot
+        q, b = self.p["q"].reshape(groups * most, -1), self.p["b"].reshape(-1)
         for i in range(0, len(y), CHUNK):
-            order = _order(place[y[i : i + CHUNK]], groups * most)
-            a, c, at = before[i : i + CHUNK][order], anchor[i : i + CHUNK][order], place[y[i : i + CHUNK][order]]
-            g = at // most
-            x = self.p["r"].take(a, 0) @ self.p["c"][0] + self.p["s"].take(c, 0) @ self.p["c"][1]
-            part = np.concatenate([_log_share(x[j : j + BLOCK_ROWS] @ self.p["u"].T + self.p["d"], g[j : j + BLOCK_ROWS]) for j in range(0, len(x), BLOCK_ROWS)])
+            at = place[y[i : i + CHUNK]]
+            context, of, _ = _distinct(before[i : i + CHUNK] * self.wide + anchor[i : i + CHUNK])
+            x = self.p["r"].take(context // self.wide, 0) @ self.p["c"][0] + self.p["s"].take(context % self.wide, 0) @ self.p["c"][1]
+            total = np.concatenate([_log_total(x[j : j + BLOCK_ROWS] @ self.p["u"].T + self.p["d"]) for j in range(0, len(x), BLOCK_ROWS)])
+            pair, of_pair, _ = _distinct(at // most * len(context) + of)
+            g, c = pair // len(context), pair % len(context)
+            x = x.take(c, 0)
+            part = np.einsum("ij,ij->i", x, self.p["u"].take(g, 0)) + self.p["d"].take(g) - total.take(c)
             bounds = np.searchsorted(g, np.arange(groups + 1))
             for k in np.flatnonzero(np.diff(bounds)):
-                rows = slice(bounds[k], bounds[k + 1])
-                part[rows] += _log_share(x[rows] @ self.p["q"][k].T + self.p["b"][k], at[rows] - k * most)
-            out[i + order] = part
+                for j in range(bounds[k], bounds[k + 1], BLOCK_ROWS):
+                    rows = slice(j, min(j + BLOCK_ROWS, bounds[k + 1]))
+                    part[rows] -= _log_total(x[rows] @ self.p["q"][k].T + self.p["b"][k])
+            out[i : i + CHUNK] = np.einsum("ij,ij->i", x.take(of_pair, 0), q.take(at, 0)) + b.take(at) + part.take(of_pair)
         return out / np.log(10)
 
     def log10_table(self) -> np.ndarray:
@@ -308,14 +355,14 @@ class LogBilinear:
         return out
 
 
-def _log_share(scores: np.ndarray, y: np.ndarray) -> np.ndarray:
-    own = scores[np.arange(len(y)), y]
+def _log_total(scores: np.ndarray) -> np.ndarray:
+    """log of the sum of exp(scores) of each row, in place."""
+    most = np.zeros((len(scores), 1), scores.dtype)
     if scores.max(initial=0) > 60:
-        most = scores.max(1)
-        scores -= most[:, None]
-        own = own - most
+        most = scores.max(1, keepdims=True)
+        scores -= most
     np.exp(scores, out=scores)
-    return own - np.log(np.maximum(scores @ np.ones(scores.shape[1], scores.dtype), 1e-37))
+    return np.log(np.maximum(scores @ np.ones(scores.shape[1], scores.dtype), 1e-37)) + most[:, 0]
 
 
 def encoded(train: DataFrame, symbols: Symbols) -> DataFrame:
@@ -408,15 +455,19 @@ def score_rows(rows: DataFrame, symbols: Symbols, model: LogBilinear, head_h: np
         for b in batches:
             for s in B.slices(b.column(3)):
                 h, cls, at = tokens(s)
-                sym = symbols.of(h, cls)
-                before, anchor = symbols.contexts(sym, at)
-                score = model.log10(before, anchor, sym)
-                place = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                have = known[place] == h if len(known) else np.zeros(len(h), bool)
-                c = count[place] if len(known) else np.zeros(len(h))
+                kinds, of = np.unique(h, return_inverse=True)  # what depends on the word alone is looked up once a slice
+                kind = np.empty(len(kinds), np.int64)
+                kind[of] = cls
+                sym = symbols.of(kinds, kind)
+                place = np.minimum(np.searchsorted(known, kinds), max(len(known) - 1, 0))
+                have = known[place] == kinds if len(known) else np.zeros(len(kinds), bool)
+                c = count[place] if len(known) else np.zeros(len(kinds))
                 base = np.where(have, np.log10(c + SMOOTHING), 0.0)
                 word = have & (sym > symbols.words)
-                score[word] += np.log10(c[word]) + inner[cls[word], 0]
+                inside = np.zeros(len(kinds))
+                inside[word] = np.log10(c[word]) + inner[kind[word], 0]
+                sym, have, base = sym[of], have[of], base[of]
+                score = model.log10(*symbols.contexts(sym, at), sym) + inside[of]
                 row = np.repeat(np.arange(s.rows), np.diff(at))
                 out = np.flatnonzero(~have)
                 key, first, n = np.unique(B.mix(h[out] + row[out].astype(B.U64) * B.U64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)

@@ -384,6 +384,33 @@ def test_lm_is_normalised():
     assert np.allclose((10**table).sum(-1), 1)
 
 
+def test_lm_repeated_events(monkeypatch):
+    """A block's gradient is the sum of its events' gradients, and what depends on a context alone is worked out once for all events of it; so for scores."""
+    r = np.random.default_rng(3)
+    model = lm.LogBilinear(300, 40, r.integers(1, 1000, 300).astype(float))
+    before, anchor, y = (r.integers(0, n, 60) for n in (300, 40, 300))
+    before[30:], anchor[30:] = before[:30], anchor[:30]
+    draws, many = model.draws(r), r.integers(0, 60, 3000)
+    one = [model.gradient(before[i : i + 1], anchor[i : i + 1], y[i : i + 1], draws) for i in range(60)]
+    seen, real = [], lm._logistic
+    monkeypatch.setattr(lm, "_logistic", lambda scores: seen.append(scores.size) or real(scores))
+    got = model.gradient(before[many], anchor[many], y[many], draws)
+    assert sum(seen) < 60 * (len(model.share) + lm.NOISE + 3)
+    for k, v in got.items():
+        want = sum(one[i][k].astype(float) for i in many)
+        assert np.allclose(v, want, rtol=1e-3, atol=1e-3 * np.abs(want).max()), k
+    assert np.allclose(model.log10(before[many], anchor[many], y[many]), model.log10(before, anchor, y)[many], atol=1e-5)
+
+
+def test_lm_distinct():
+    """Packed with their places or, where these do not fit, not: the same distinct numbers."""
+    r = np.random.default_rng(4)
+    for most in (5, 1 << 40, (1 << 62) + 5):
+        code = r.integers(0, most, 40)[r.integers(0, 40, 1000)]
+        kinds, of, n = lm._distinct(code)
+        assert (kinds == np.unique(code)).all() and (kinds[of] == code).all() and (n == np.bincount(of)).all()
+
+
 def test_token_counts(docs, none):
     import tiktoken  # noqa: F401
 
